@@ -24,3 +24,39 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillframe.llm.quality import classify_quality
 
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP1_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source IS NULL AS absent, coalesce(source, '') AS name,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS random
+  FROM documents),
+sources AS (
+  SELECT absent, name, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY absent, encode(name)) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM sized GROUP BY absent, name),
+filled AS (
+  SELECT *, sum(3 * source_size) OVER o AS limits, sum(weight) OVER o AS weights, 3 * source_size / weight AS full_at
+  FROM sources WINDOW o AS (ORDER BY 3 * source_size / weight, absent, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+totals AS (SELECT sum(source_size) AS words, sum(weight) AS weight FROM sources),
+steps AS (
+  SELECT f.full_at, f.absent, f.name, CAST(t.words - coalesce(f.limits, 0) AS DOUBLE) AS rest, CAST(t.weight - coalesce(f.weights, 0) AS DOUBLE) AS left_weight
+  FROM filled f, totals t),
+level AS (SELECT rest, left_weight FROM steps WHERE rest / left_weight < full_at ORDER BY full_at, absent, name LIMIT 1),
+goals AS (
+  SELECT s.absent, s.name, s.source_size, coalesce(least(CAST(3 * s.source_size AS DOUBLE), s.weight * l.rest / l.left_weight), CAST(3 * s.source_size AS DOUBLE)) AS target
+  FROM sources s LEFT JOIN level l ON true),
+placed AS (
+  SELECT z.doc_id, z.size, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS budget,
+         coalesce(sum(z.size) OVER (PARTITION BY z.absent, z.name ORDER BY z.random, z.doc_id, z.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized z JOIN goals g ON z.absent = g.absent AND z.name = g.name)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size > 0 THEN (budget // source_size) * size + greatest(0, least(size, budget % source_size - start)) ELSE 0 END AS BIGINT) AS taken
+FROM placed
+"""
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
+}
+ORACLES = {"op1_mixing": OP1_SQL}
