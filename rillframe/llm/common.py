@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy block holds at most (a longer document is a block of its own).
 BLOCK = 2_000_000
 
+#: What one Arrow batch holds at most; texts differ in length by a factor of thousands, so rows alone don't bound it.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "5000"}
+
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -186,11 +189,13 @@ def quoted(name: str) -> Column:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the Python workers this package, wherever they run; once for each Spark application."""
+    """Give the Python workers this package, wherever they run, and texts in small batches; once for each Spark application."""
     import os
     import zipfile
 
     context = spark.sparkContext
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     if getattr(context, "_rillframe_shipped", False):
         return spark
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

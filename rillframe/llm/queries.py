@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 from rillframe.llm.common import ship
@@ -26,6 +27,28 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillframe.llm.secrets import scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("secrets", lambda x: x["kind"] != "novel")), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"),
+    )
+
+
+#: A public vocabulary; a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillframe.llm.pieces import encode_sampled
+
+    return encode_sampled(_table(spark, sf_dir, "documents"), PIECES, keep=["doc_id"])
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS absent, coalesce(source, '') AS name,
@@ -58,5 +81,7 @@ FROM placed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
+    "op5_secrets": op5_secrets,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES = {"op1_mixing": OP1_SQL}
