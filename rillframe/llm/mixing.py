@@ -106,6 +106,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     An empty table gives no rows. Other columns don't matter, whatever their names.
     """
     slim = word_counts(docs.select(quoted(key).alias("key"), quoted(text).alias("text"), quoted(source).isNull().alias("absent"), F.coalesce(quoted(source).cast("string"), F.lit("")).alias("name")), keep=["key", "absent", "name"])
+    slim = stored(slim, "sizes")  # the range partitioner reads its input twice
     runs = prefix_sums(slim.withColumn("_random", random_key("key", seed)), ["absent", "name", "_random", "key", "size"], ["absent", "name"], "mix")
     goal = targets(runs.groupBy("absent", "name").agg(F.sum("size").alias("source_size")), weights, epochs)
     mixed = runs.join(goal, ["absent", "name"])
