@@ -39,6 +39,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillframe.llm.ngram_join import join_similar
+
+    return join_similar(_table(spark, sf_dir, "documents"), width=3, per_cent=90)
+
+
 #: A public vocabulary; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op5_secrets": op5_secrets,
+    "op7_ngram_join": op7_ngram_join,
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES = {"op1_mixing": OP1_SQL}
