@@ -45,6 +45,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(_table(spark, sf_dir, "documents"), width=3, per_cent=90)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillframe.llm.langid import identify_language
+
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 #: A public vocabulary; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op5_secrets": op5_secrets,
     "op7_ngram_join": op7_ngram_join,
+    "op8_language": op8_language,
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES = {"op1_mixing": OP1_SQL}
