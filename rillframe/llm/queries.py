@@ -27,6 +27,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillframe.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillframe.llm.topk import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillframe.llm.secrets import scan_secrets
 
@@ -90,12 +102,25 @@ SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size > 0 THEN (budget // source_size) * size + greatest(0, least(size, budget % source_size - start)) ELSE 0 END AS BIGINT) AS taken
 FROM placed
 """
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
+    "op4_nearest": op4_nearest,
     "op5_secrets": op5_secrets,
+    "op6_topk": op6_topk,
     "op7_ngram_join": op7_ngram_join,
     "op8_language": op8_language,
     "op9_sentencepiece": op9_sentencepiece,
 }
-ORACLES = {"op1_mixing": OP1_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op6_topk": OP6_SQL}
