@@ -27,6 +27,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillframe.llm.lm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillframe.llm.ann import nearest
 
@@ -116,6 +122,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
+    "op3_lm": op3_lm,
     "op4_nearest": op4_nearest,
     "op5_secrets": op5_secrets,
     "op6_topk": op6_topk,
