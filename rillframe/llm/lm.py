@@ -1,9 +1,9 @@
 """Language-model scores: word counts of the whole corpus, and a causal self-attention model over subword ids, trained in numpy.
 
-A text is its words with A-Z lowered. Each word, a space before it, is cut into pieces of a public vocabulary along the best path by weight;
-pieces are grouped into classes by how often all training words hold them: a frequent piece is its own class, rarer ones share some by
-frequency. The network reads classes and predicts the next class or the end; a piece within its class has its smoothed corpus share. So a
-piece sequence has a probability, and a text that of its one sequence.
+A text is its words with A-Z lowered. Each word, a space before it, is cut into pieces of a public vocabulary along the best path by weight.
+By how often all training words hold them, frequent pieces are classes of their own, and rarer ones share the classes of a last group. The
+network reads classes and predicts the next one, or the end, in two steps: its group, and it within the group. A piece within a shared
+class has its smoothed corpus share. So a piece sequence has a probability, and a text that of its one sequence.
 """
 
 from __future__ import annotations
@@ -19,14 +19,19 @@ from rillframe.llm.common import _BYTE_KEYS, _LOWER, blocks, mix, quoted, remain
 from rillframe.llm.pieces import LONGEST, WIDTHS, Vocabulary, vocabulary, _DOWN, _UP
 
 _U = np.uint64
-#: Classes; the last TAIL of them hold all rarer pieces, class 0 is the border of a text.
-CLASSES, TAIL = 160, 16
+#: Groups, and classes of a group. Class 0 is the border of a text; the classes of the last group hold all rarer pieces.
+GROUPS = 40
+CLASSES = GROUPS * GROUPS
 #: Inputs of a window, and how many of them only give context in all but a text's first window.
 WINDOW, CONTEXT = 32, 8
 #: The counts of so many of the most frequent words go to all workers; a rarer word's count is joined by a shuffle.
 HEAD = 1 << 18
 #: One training text in so many, by hash, trains the network; piece and word counts come from all.
-TRAINED = 16
+TRAINED = 32
+#: Windows that a task trains on, about, and the least number of steps of a task in a round (few windows are gone over again).
+TASK, STEPS = 1 << 16, 1500
+#: What each piece of a path costs besides its own weight.
+PIECE_COST = -3.0
 #: The end of a text among word hashes.
 END = np.int64(0x0E0D)
 #: Different words that a task holds before it passes their counts on.
@@ -39,7 +44,7 @@ def best_pieces(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.nd
     counts, found = np.zeros(n, np.int64), []
     lengths = ends - starts + 1
     low = 0
-    weight = np.append(v.weight, -np.inf)
+    weight = word_weights(v)
     for width in WIDTHS:
         these = np.flatnonzero((lengths > low) & (lengths <= width))
         low = width
@@ -84,6 +89,11 @@ def best_pieces(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.nd
     return ids[order], counts
 
 
+def word_weights(v: Vocabulary) -> np.ndarray:
+    """Few pieces first, then frequent ones; minus infinity for no piece."""
+    return np.append(PIECE_COST + v.weight, -np.inf).astype(np.float32)
+
+
 def _long_word(v: Vocabulary, raw: bytes, weight: np.ndarray) -> list[int]:
     total, edge = [0.0], [(0, -1)]
     for j in range(1, len(raw) + 1):
@@ -113,25 +123,34 @@ def unique_words(data: np.ndarray, offsets: np.ndarray):
 
 @dataclass
 class Classes:
-    """The class of each piece and the log share of each piece in its class; border: class 0."""
+    """The class of each piece and the log share of each piece in its class; prior: the classes' log shares."""
 
     of: np.ndarray
     share: np.ndarray
     prior: np.ndarray
 
     @staticmethod
-    def fit(counts: np.ndarray, texts: float) -> Classes:
+    def fit(counts: np.ndarray, texts: float, first: np.ndarray) -> Classes:
+        """first: whether a piece begins a word; such pieces are in groups of their own."""
         smooth = counts + 0.05
         order = np.argsort(-smooth, kind="stable")
-        own = CLASSES - 1 - TAIL
+        own = CLASSES - GROUPS - 1
         of = np.zeros(len(counts), np.int16)
-        of[order[:own]] = np.arange(1, own + 1)
+        often = order[:own]
+        of[often[np.argsort(~first[often], kind="stable")]] = np.arange(1, len(often) + 1)
         rest = order[own:]
         mass = np.cumsum(smooth[rest])
-        of[rest] = own + 1 + np.minimum((mass / mass[-1] * TAIL * 0.999999).astype(int), TAIL - 1)
+        of[rest] = CLASSES - GROUPS + np.minimum((mass / max(mass[-1:].sum(), 1e-9) * GROUPS * 0.999999).astype(int), GROUPS - 1)
         total = np.bincount(of, smooth, CLASSES)
-        total[0] = texts + 0.5
-        return Classes(of, np.log(smooth / total[of]).astype(np.float32), np.log(total / total.sum()).astype(np.float32))
+        share = np.log(smooth / total[of]).astype(np.float32)
+        total[0] = texts
+        total += 0.05
+        return Classes(of, share, np.log(total / total.sum()).astype(np.float32))
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    return (top + np.log(np.exp(x - top[:, None]).sum(1))).astype(np.float32)
 
 
 class Network:
@@ -147,8 +166,9 @@ class Network:
         normal = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
         d = width
         return Network({
-            "e": normal(len(prior), d, scale=0.5), "pos": normal(WINDOW, d, scale=0.1), "qkv": normal(d, 3 * d, scale=d**-0.5), "o": normal(d, d, scale=d**-0.5),
-            "w1": normal(d, units, scale=d**-0.5), "b1": np.zeros(units, np.float32), "w2": normal(units, d, scale=units**-0.5), "out": normal(d, len(prior), scale=0.05), "bias": prior.copy(),
+            "e": normal(CLASSES, d, scale=0.5), "pos": normal(WINDOW, d, scale=0.1), "qkv": normal(d, 3 * d, scale=d**-0.5), "o": normal(d, d, scale=d**-0.5),
+            "w1": normal(d, units, scale=d**-0.5), "b1": np.zeros(units, np.float32), "w2": normal(units, d, scale=units**-0.5), 
+            "group": normal(d, GROUPS, scale=0.05), "group_bias": _log_sum(prior.reshape(GROUPS, GROUPS)), "class": normal(GROUPS, d, GROUPS, scale=0.05), "class_bias": prior.reshape(GROUPS, GROUPS).copy(),
         })
 
     def hidden(self, x: np.ndarray):
@@ -173,30 +193,66 @@ class Network:
 
     def log_chance(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target class."""
-        z = h @ self.p["out"]
-        z += self.p["bias"]
-        own = z[np.arange(len(z)), target]
-        top = z.max(1)
-        z -= top[:, None]
+        p = self.p
+        group, own = np.divmod(target, GROUPS)
+        order = np.argsort(group, kind="stable")
+        h, group, own = h[order], group[order], own[order]
+        z = h @ p["group"]
+        z += p["group_bias"]
+        at = np.arange(len(z))
+        found = z[at, group]
+        np.minimum(z, 60, out=z)
         np.exp(z, out=z)
-        return own - top - np.log(z.sum(1))
+        found -= np.log(z.sum(1))
+        ends = np.searchsorted(group, np.arange(GROUPS + 1))
+        for g in range(GROUPS):
+            a, b = ends[g], ends[g + 1]
+            if a < b:
+                z = h[a:b] @ p["class"][g]
+                z += p["class_bias"][g]
+                found[a:b] += z[at[: b - a], own[a:b]]
+                np.minimum(z, 60, out=z)
+                np.exp(z, out=z)
+                found[a:b] -= np.log(z.sum(1))
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss and gradients over places of weight 1; x, target, weight: windows by places."""
         p, (b, t) = self.p, x.shape
         d = p["e"].shape[1]
         h, (h0, q, k, v, a, m, h1, u) = self.hidden(x)
-        y, w = target.ravel(), weight.ravel() / max(weight.sum(), 1)
-        z = h @ p["out"] + p["bias"]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        at = np.arange(len(y))
-        loss = float(-(np.log(z[at, y] + 1e-20) * w).sum())
-        z[at, y] -= 1
-        z *= w[:, None].astype(np.float32)
-        g = {"out": h.T @ z, "bias": z.sum(0)}
-        dh = z @ p["out"].T
+        scored = np.flatnonzero(weight.ravel())
+        group, own = np.divmod(target.ravel()[scored], GROUPS)
+        order = np.argsort(group, kind="stable")
+        scored, group, own = scored[order], group[order], own[order]
+        n, hs = max(len(scored), 1), h[scored]
+        at = np.arange(len(scored))
+
+        def softmax(z, y):
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+            lost = -np.log(z[at[: len(y)], y] + 1e-20).sum()
+            z[at[: len(y)], y] -= 1
+            z /= n
+            return z, lost
+
+        z, loss = softmax(hs @ p["group"] + p["group_bias"], group)
+        g = {"group": hs.T @ z, "group_bias": z.sum(0), "class": np.zeros_like(p["class"]), "class_bias": np.zeros_like(p["class_bias"])}
+        ds = z @ p["group"].T
+        ends = np.searchsorted(group, np.arange(GROUPS + 1))
+        for c in range(GROUPS):
+            i, j = ends[c], ends[c + 1]
+            if i < j:
+                z, lost = softmax(hs[i:j] @ p["class"][c] + p["class_bias"][c], own[i:j])
+                loss += lost
+                g["class"][c], g["class_bias"][c] = hs[i:j].T @ z, z.sum(0)
+                ds[i:j] += z @ p["class"][c].T
+        loss = float(loss) / n
+        dh = np.zeros_like(h)
+        dh[scored] = ds
         du = dh @ p["w2"].T
         du[u <= 0] = 0
         g["w2"], g["w1"], g["b1"] = u.T @ dh, h1.T @ du, du.sum(0)
@@ -212,25 +268,33 @@ class Network:
         dh0 = (dh1 + dqkv @ p["qkv"].T).reshape(b, t, d)
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][:t] = dh0.sum(0)
-        one = np.zeros((len(p["e"]), b * t), np.float32)
-        one[x.ravel(), at] = 1
-        g["e"] = one @ dh0.reshape(-1, d)
+        g["e"] = np.zeros_like(p["e"])
+        flat, rows = x.ravel(), dh0.reshape(-1, d)
+        by = np.argsort(flat, kind="stable")
+        heads = np.flatnonzero(np.diff(flat[by], prepend=-1))
+        g["e"][flat[by][heads]] = np.add.reduceat(rows[by], heads, axis=0)
         return loss, g
 
-    def train(self, x, target, weight, rate: float, batch: int, seed: int) -> None:
-        """One pass over windows in random order, by Adam."""
+    def train(self, x, target, weight, rate: float, batch: int, passes: int, seed: int, turn: int = 0, turns: int = 1) -> None:
+        """Passes over windows in random order, by Adam; the rate falls over all turns."""
         rng = np.random.default_rng(seed)
-        order = rng.permutation(len(x))
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        for n, a in enumerate(range(0, len(x), batch), 1):
-            i = order[a : a + batch]
-            _, g = self.gradients(x[i], target[i], weight[i])
-            scale = min(1.0, 1.0 / (np.sqrt(sum(float((v * v).sum()) for v in g.values())) + 1e-9))
+        steps = passes * -(-len(x) // batch)
+        order = np.concatenate([rng.permutation(len(x)) for _ in range(passes)])
+        for n in range(1, steps + 1):
+            i = order[(n - 1) * batch : n * batch]
+            if not len(i):
+                break
+            _, g = self.gradients(x[i].astype(np.int64), target[i].astype(np.int64), weight[i])
+            scale = np.float32(min(1.0, 1.0 / (np.sqrt(sum(float((v * v).sum()) for v in g.values())) + 1e-9)))
+            now = rate * (1.02 - (turn + n / steps) / turns) * min(1.0, n / 50)
             for key, v in g.items():
-                v = v * scale
-                first[key] = 0.9 * first[key] + 0.1 * v
-                second[key] = 0.98 * second[key] + 0.02 * v * v
-                self.p[key] = (self.p[key] - rate * (first[key] / (1 - 0.9**n)) / (np.sqrt(second[key] / (1 - 0.98**n)) + 1e-7)).astype(np.float32)
+                v *= scale
+                first[key] *= np.float32(0.9)
+                first[key] += np.float32(0.1) * v
+                second[key] *= np.float32(0.98)
+                second[key] += np.float32(0.02) * v * v
+                self.p[key] -= np.float32(now / (1 - 0.9**n)) * first[key] / (np.sqrt(second[key] / np.float32(1 - 0.98**n)) + np.float32(1e-7))
 
 
 def windows(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,23 +322,49 @@ def windows(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return x, y, fresh
 
 
-def _pieces_of_block(v: Vocabulary, data, offsets):
-    """Per text in order: piece ids of all words, and how many; also the block's different words and their occurrences."""
+class PieceCache:
+    """Pieces of the words met so far, at most `most` words; a task meets frequent words over and over."""
+
+    def __init__(self, v: Vocabulary, most: int = 500_000):
+        self.v, self.most = v, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.begin, self.size, self.flat, self.parts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), []
+
+    def pieces(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, where each of the sorted different words begins in them, their numbers of pieces)."""
+        if len(self.words) + len(unique) > self.most:
+            self.clear()
+        at = np.searchsorted(self.words, unique)
+        new = np.ones(len(unique), bool)
+        inside = at < len(self.words)
+        new[inside] = self.words[at[inside]] != unique[inside]
+        if new.any():
+            ids, sizes = best_pieces(self.v, low, starts[new], ends[new])
+            begin = np.cumsum(sizes) - sizes + len(self.flat)
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+            self.words, self.begin, self.size = (np.insert(old, at[new], added) for old, added in ((self.words, unique[new]), (self.begin, begin), (self.size, sizes)))
+            at = np.searchsorted(self.words, unique)
+        return self.flat, self.begin[at], self.size[at]
+
+
+def _pieces_of_block(cache: PieceCache, data, offsets):
+    """Per text in order: piece ids of all words, and how many; the block's different words, their occurrences, and words of each text."""
     low, starts, ends, unique, which, counts = unique_words(data, offsets)
-    ids, sizes = best_pieces(v, low, starts, ends)
-    begin = np.cumsum(sizes) - sizes
-    many = sizes[which] if len(which) else np.zeros(0, np.int64)
+    flat, begin, sizes = cache.pieces(low, starts, ends, unique)
+    many = sizes[which]
     stop = np.cumsum(many)
-    flat = np.repeat(begin[which] - (stop - many), many) + np.arange(stop[-1] if len(stop) else 0) if len(which) else np.zeros(0, np.int64)
+    at = np.repeat(begin[which] - (stop - many), many) + np.arange(int(many.sum()))
     doc = np.repeat(np.arange(len(counts)), counts)
-    return ids[flat], np.bincount(doc, many, len(counts)).astype(np.int64), unique, which, counts, (ids, sizes)
+    return flat[at], np.bincount(doc, many, len(counts)).astype(np.int64), unique, which, counts
 
 
 def _count_words(docs: DataFrame, model: str) -> tuple[DataFrame, np.ndarray]:
     """(word, c) over all training texts, the end among them, and how many pieces of each kind they hold."""
     def run(batches):
-        v = vocabulary(model)
-        pieces = np.zeros(len(v.pieces))
+        cache = PieceCache(vocabulary(model))
+        pieces = np.zeros(len(cache.v.pieces))
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
@@ -290,7 +380,9 @@ def _count_words(docs: DataFrame, model: str) -> tuple[DataFrame, np.ndarray]:
             for _, data, offsets in blocks(batch):
                 low, starts, ends, unique, which, counts = unique_words(data, offsets)
                 often = np.bincount(which, minlength=len(unique)).astype(np.int64)
-                ids, sizes = best_pieces(v, low, starts, ends)
+                flat, begin, sizes = cache.pieces(low, starts, ends, unique)
+                stop = np.cumsum(sizes)
+                ids = flat[np.repeat(begin - (stop - sizes), sizes) + np.arange(int(sizes.sum()))]
                 pieces += np.bincount(ids, np.repeat(often, sizes), len(pieces))
                 held.append((np.append(unique, END), np.append(often, len(counts))))
                 size += len(unique)
@@ -333,26 +425,28 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
     names = sorted(net.p)
 
     def cut(batches):
-        v = vocabulary(model)
+        cache = PieceCache(vocabulary(model))
         for b in batches:
             for _, data, offsets in blocks(b):
-                ids, counts, *_ = _pieces_of_block(v, data, offsets)
+                ids, counts, *_ = _pieces_of_block(cache, data, offsets)
                 x, y, w = windows(classes.of[ids].astype(np.int64), counts)
-                for a in range(0, len(x), 4096):
-                    body = [np.ascontiguousarray(z[a : a + 4096]).astype(np.uint8).tobytes() for z in (x, y, w)]
+                for a in range(0, len(x), 1024):
+                    body = [np.ascontiguousarray(z[a : a + 1024]).astype(np.uint16).tobytes() for z in (x, y, w)]
                     yield pa.RecordBatch.from_arrays([pa.array([z], pa.binary()) for z in body], names=["x", "y", "w"])
 
     made = stored(docs.select(text_bytes().alias("text")).mapInArrow(cut, "x binary, y binary, w binary"), "windows")
+    rows = made.agg(F.coalesce(F.sum(F.length("x")), F.lit(0))).first()[0] // (2 * WINDOW)
+    made = stored(made.repartition(max(1, -(-rows // TASK))), "windows")
     for turn in range(rounds):
         p = net.p
 
         def learn(batches, p=p, turn=turn):
-            own, n = Network({k: v.copy() for k, v in p.items()}), 0
-            for b in batches:
-                for i in range(b.num_rows):
-                    x, y, w = (np.frombuffer(b.column(c)[i].as_py(), np.uint8).reshape(-1, WINDOW).astype(np.int64) for c in ("x", "y", "w"))
-                    own.train(x, y, w, rate * (1 - turn / rounds), batch, seed + turn)
-                    n += len(x)
+            own = Network({k: v.copy() for k, v in p.items()})
+            parts = [[np.frombuffer(b.column(c)[i].as_py(), np.uint16).reshape(-1, WINDOW) for c in ("x", "y", "w")] for b in batches for i in range(b.num_rows)]
+            n = sum(len(part[0]) for part in parts)
+            if n:
+                x, y, w = (np.concatenate(z) for z in zip(*parts, strict=True))
+                own.train(x, y, w, rate, batch, -(-STEPS * batch // n), seed + turn, turn, rounds)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], *[n * own.p[k].ravel().astype(float) for k in names]]).tobytes()], pa.binary())], names=["sums"])
 
@@ -367,7 +461,7 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
     return net
 
 
-def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", folds: int = 5, hold: int = 1, rounds: int = 3, rate: float = 0.01, batch: int = 64, seed: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", folds: int = 5, hold: int = 1, rounds: int = 2, rate: float = 0.015, batch: int = 16, seed: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; learnt from rows whose crc32(key) modulo `folds` isn't `hold`.
 
     Tokens are the words ([^\\x20\\x09-\\x0D]+, A-Z lowered) and one end. base_score adds log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the
@@ -379,7 +473,7 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
     learnt = slim.where(~F.col("held_out"))
     counts, pieces = _count_words(learnt, model)
     n, v_words, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c"), F.coalesce(F.sum(F.when(F.col("word") == int(END), F.col("c"))), F.lit(0))).first()
-    classes = Classes.fit(pieces, float(ends))
+    classes = Classes.fit(pieces, float(ends), np.array([bool(p) and p[:1] == b" " for p in vocabulary(model).pieces]))
     net = _train(learnt.where(F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(TRAINED)) == 0), model, classes, rounds, rate, batch, seed)
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # HEAD rows of 16 bytes at most
     words, often = head.column("word").to_numpy(), head.column("c").to_numpy()
@@ -390,13 +484,13 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
 
     def run(batches):
         words, often, p, classes = shared.value
-        v, net = vocabulary(model), Network(p)
+        cache, net = PieceCache(vocabulary(model)), Network(p)
         end_known = int(ends > 0)
         end_base = np.log10(ends + 0.5) - below
         for batch in batches:
             for rows, data, offsets in blocks(batch):
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                ids, sizes, unique, which, number, _ = _pieces_of_block(v, data, offsets)
+                ids, sizes, unique, which, number = _pieces_of_block(cache, data, offsets)
                 m = len(number)
                 doc = np.repeat(np.arange(m), number)
                 at = np.minimum(np.searchsorted(words, unique), max(len(words) - 1, 0))
