@@ -67,7 +67,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, width: int, per_cent: int, frequent: np.ndarray) -> DataFrame:
-    """key, n (size of the set), node and check (two hashes of the set), lead (the leading columns of the row)."""
+    """key, n (size of the set), node and check (two hashes of the set), lead (the leading columns of the row), low (the least hashes of the set, packed)."""
     order = np.argsort(frequent)
     known, rank = frequent[order], order
 
@@ -87,9 +87,18 @@ def _rows(docs: DataFrame, width: int, per_cent: int, frequent: np.ndarray) -> D
         first = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(lead, counts)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lead)]), pa.int32()), pa.array(hashes[by][first].view(np.int64)))
         node = mix(one + counts.astype(np.uint64))
-        return [counts.astype(np.int64), node.view(np.int64), two.view(np.int64), lists]
+        least = np.where(counts > 0, np.minimum(counts, 16 + counts * (100 - per_cent) // 100), 0)
+        some = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(least, counts)
+        return [counts.astype(np.int64), node.view(np.int64), two.view(np.int64), lists, _packed(hashes[some], least)]
 
-    return annotate(docs, compute, "n bigint, node bigint, `check` bigint, lead array<bigint>", keep=["key"])
+    return annotate(docs, compute, "n bigint, node bigint, `check` bigint, lead array<bigint>, low binary", keep=["key"])
+
+
+def _packed(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The first 40 bits of each hash of each row, as binary; 40 bits tell those of two rows apart, and keep their order."""
+    cut = np.ascontiguousarray((hashes >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
+    ends = np.concatenate([[0], np.cumsum(counts) * 5]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(cut)])
 
 
 def _meeting(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -162,11 +171,54 @@ def _other_pairs(cells: DataFrame, groups: DataFrame, per_cent: int) -> DataFram
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
+def _both(pairs: DataFrame, sides: DataFrame, value: str) -> DataFrame:
+    """pairs (a, b) with x and y: the values of the nodes a and b, and the sizes n and m if there are any."""
+    more = ["n"] if "n" in sides.columns else []
+    left = sides.select(F.col("node").alias("a"), F.col(value).alias("x"), *more)
+    right = sides.select(F.col("node").alias("b"), F.col(value).alias("y"), *[F.col(c).alias("m") for c in more])
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _shared(left, right, m):
+    value, pair = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
+    order = np.lexsort((value, pair))
+    value, pair = value[order], pair[order]
+    return np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=m)
+
+
+def _possible(pairs: DataFrame, rows: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs that may be similar enough by their least cells: up to the lower of both last ones, each row's cells are all known, and those
+    that only one of them has count against the number that two similar rows of these sizes can differ by."""
+    sides = rows.select("node", "low", "n").join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.first("low").alias("low"), F.first("n").alias("n"))
+    joined = _both(pairs, sides, "low")
+
+    def run(batches):
+        for batch in batches:
+            k = batch.num_rows
+            if not k:
+                continue
+            left, right = (_cells([(d, o) for _, d, o in blocks(batch, c, 1 << 21)]) for c in ("x", "y"))
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            limit = np.full(k, np.iinfo(np.uint64).max, np.uint64)
+            for (value, pair, size), whole in ((left, n), (right, m)):
+                last = value[np.cumsum(size) - 1]
+                limit = np.where(size < whole, np.minimum(limit, last), limit)
+            left, right = ((value[keep], pair[keep]) for value, pair, _ in (left, right) for keep in (value <= limit[pair],))
+            shared = _shared(left, right, k)
+            apart = np.bincount(left[1], minlength=k) + np.bincount(right[1], minlength=k) - 2 * shared
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(apart * (100 + per_cent) <= (n + m) * (100 - per_cent)))
+
+    return joined.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a bigint, b bigint")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: overlaps added up over whole rows."""
-    pairs = stored(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    one = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    """The pairs (a, b) whose sets are similar enough: overlaps added up over the least columns and then, where the bound allows, over whole rows."""
+    pairs = stored(_possible(stored(pairs, "pairs"), rows, per_cent), "possible")
+    one = rows.join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     one = stored(one.where("key is not null"), "needed")
     texts = docs.where("key is not null")
     if one.count() <= SENT:
@@ -180,26 +232,20 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_c
         of = np.repeat(np.arange(n), counts)
         total = np.zeros(n, np.uint64)
         np.add.at(total, of, mix(hashes + _U(0xABCD)))
-        cut = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :5]).ravel()  # 40 bits of each tell those of two rows apart
-        ends = np.concatenate([[0], np.cumsum(counts) * 5]).astype(np.int32)
-        return [mix(total + counts.astype(np.uint64)).view(np.int64), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(cut)])]
+        return [mix(total + counts.astype(np.uint64)).view(np.int64), _packed(hashes, counts)]
 
     sets = annotate(texts, compute, "node bigint, grams binary", keep=["key"]).join(one, ["node", "key"], "left_semi")
     sets = sets.groupBy("node").agg(F.first("grams").alias("grams"))  # a key may stand in several rows
     sets = stored(sets, "sets")
-    joined = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
+    joined = _both(pairs, sets, "grams").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
             m = batch.num_rows
             if not m:
                 continue
-            left = _cells([(d, o) for _, d, o in blocks(batch, "x", 1 << 21)])
-            right = _cells([(d, o) for _, d, o in blocks(batch, "y", 1 << 21)])
-            value, pair = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
-            order = np.lexsort((value, pair))
-            value, pair = value[order], pair[order]
-            overlap = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=m)
+            left, right = (_cells([(d, o) for _, d, o in blocks(batch, c, 1 << 21)]) for c in ("x", "y"))
+            overlap = _shared(left, right, m)
             union = left[2] + right[2] - overlap
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(100 * overlap >= per_cent * union))
 
