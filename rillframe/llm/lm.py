@@ -26,8 +26,9 @@ CLASSES = GROUPS * GROUPS
 WINDOW, CONTEXT = 32, 8
 #: The counts of so many of the most frequent words go to all workers; a rarer word's count is joined by a shuffle.
 HEAD = 1 << 18
-#: One training text in so many, by hash, trains the network; piece and word counts come from all.
-TRAINED = 32
+#: The share of training texts, chosen by hash, on which the network trains, and the pieces that they should hold at least, if there are
+#: so many; piece and word counts come from all.
+TRAINED, LEAST = 1 / 32, 1 << 21
 #: Windows that a task trains on, about, and the least number of steps of a task in a round (few windows are gone over again).
 TASK, STEPS = 1 << 16, 1500
 #: What each piece of a path costs besides its own weight.
@@ -474,7 +475,9 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
     counts, pieces = _count_words(learnt, model)
     n, v_words, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c"), F.coalesce(F.sum(F.when(F.col("word") == int(END), F.col("c"))), F.lit(0))).first()
     classes = Classes.fit(pieces, float(ends), np.array([bool(p) and p[:1] == b" " for p in vocabulary(model).pieces]))
-    net = _train(learnt.where(F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(TRAINED)) == 0), model, classes, rounds, rate, batch, seed)
+    share = min(1.0, max(TRAINED, LEAST / max(pieces.sum(), 1)))
+    chosen = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(1 << 20)) < round(share * (1 << 20))
+    net = _train(learnt.where(chosen), model, classes, rounds, rate, batch, seed)
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # HEAD rows of 16 bytes at most
     words, often = head.column("word").to_numpy(), head.column("c").to_numpy()
     order = np.argsort(words)
