@@ -79,6 +79,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_sampled(_table(spark, sf_dir, "documents"), PIECES, keep=["doc_id"])
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillframe.llm.suffix import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS absent, coalesce(source, '') AS name,
@@ -129,5 +135,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_join": op7_ngram_join,
     "op8_language": op8_language,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_suffix": op10_suffix,
 }
 ORACLES = {"op1_mixing": OP1_SQL, "op6_topk": OP6_SQL}
