@@ -7,6 +7,7 @@ partitions, and each source is cut at its exact budget after as many whole epoch
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,30 +106,66 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     null sources are a source of their own, last; null and repeated keys are rows like others (ties by size, then alike in all that matters).
     An empty table gives no rows. Other columns don't matter, whatever their names.
     """
-    slim = word_counts(docs.select(quoted(key).alias("key"), quoted(text).alias("text"), quoted(source).isNull().alias("absent"), F.coalesce(quoted(source).cast("string"), F.lit("")).alias("name")), keep=["key", "absent", "name"])
+    plan = _plan(docs, key, source, text, F.lit(0).cast("long"), weights, epochs, seed)
+    return plan.select(F.col("key").alias(key), "size", "source_size", "target", "taken")
+
+
+def _plan(docs: DataFrame, key: str, source: str, text: str, tag: Column, weights: tuple[int, ...], epochs: int, seed: int) -> DataFrame:
+    slim = word_counts(docs.select(quoted(key).alias("key"), tag.alias("tag"), quoted(text).alias("text"), quoted(source).isNull().alias("absent"), F.coalesce(quoted(source).cast("string"), F.lit("")).alias("name")), keep=["key", "tag", "absent", "name"])
     slim = stored(slim, "sizes")  # the range partitioner reads its input twice
-    runs = prefix_sums(slim.withColumn("_random", random_key("key", seed)), ["absent", "name", "_random", "key", "size"], ["absent", "name"], "mix")
+    runs = prefix_sums(slim.withColumn("_random", random_key("key", seed)), ["absent", "name", "_random", "key", "size", "tag"], ["absent", "name"], "mix")
     goal = targets(runs.groupBy("absent", "name").agg(F.sum("size").alias("source_size")), weights, epochs)
     mixed = runs.join(goal, ["absent", "name"])
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     mixed = mixed.withColumn("_whole", whole).withColumn("_rest", budget - F.col("_whole") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("start")))
-    return mixed.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("_whole") * F.col("size") + part).cast("long").alias("taken"))
+    return mixed.withColumn("taken", (F.col("_whole") * F.col("size") + part).cast("long"))
 
 
-def take_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
+def take_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", n_chars: str | None = "n_chars", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
     """The mixed rows themselves, in docs' columns: a row for each whole epoch and, at a source's cut, one whose text ends there.
 
-    The key must be unique. Rows that the mix takes nothing from are gone, rows of size 0 among them.
+    Rows that the mix takes nothing from are gone, rows of size 0 among them. Repeated rows count one by one, as in mix_sources.
     """
-    plan = mix_sources(docs, key, source, text, **options).where("taken > 0").select(F.col(key).alias("_mix_key"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    out = docs.join(plan, quoted(key).eqNullSafe(F.col("_mix_key")))
-    times = F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("int")
-    out = out.withColumn("_mix_time", F.explode(F.sequence(F.lit(1), times)))
-    words = F.least(F.col("_mix_size"), F.col("_mix_taken") - (F.col("_mix_time") - 1) * F.col("_mix_size")).cast("int")
-    space = r"[\x20\x09-\x0D]"
-    cut = F.regexp_extract(quoted(text), F.concat(F.lit(rf"^(?:{space}*[^\x20\x09-\x0D]+)"), F.lit("{"), words.cast("string"), F.lit("}")), F.lit(0))
-    out = out.withColumn("_mix_text", F.when(words < F.col("_mix_size"), cut).otherwise(quoted(text)))
+    # rows alike in all columns can stand for each other: one of them carries the epochs of all
+    tag = F.xxhash64(*[quoted(c) for c in docs.columns])
+    plan = _plan(docs, key, source, text, tag, weights, epochs, seed).where("taken > 0")
+    # how many words each output row holds: whole epochs, then a part
+    size, taken = F.col("size"), F.col("taken")
+    held = F.transform(F.sequence(F.lit(1), F.ceil(taken / size).cast("int")), lambda i: F.least(size, taken - (i - 1) * size))
+    parts = plan.select("key", "tag", "size", held.alias("held")).groupBy("key", "tag").agg(F.flatten(F.collect_list("held")).alias("_mix_words"), F.max("size").alias("_mix_size")).withColumnsRenamed({"key": "_mix_key", "tag": "_mix_tag"})
+    one = docs.withColumn("_mix_own", tag)
+    one = one.join(parts, quoted(key).eqNullSafe(F.col("_mix_key")) & (F.col("_mix_own") == F.col("_mix_tag"))).drop("_mix_key", "_mix_tag")
+    out = one.withColumn("_mix_hold", F.explode("_mix_words")) if not _repeats(plan) else _once(one, key).withColumn("_mix_hold", F.explode("_mix_words"))
+    # one row of a source ends at its cut; only such texts go to Python
+    short = F.col("_mix_hold") < F.col("_mix_size")
+    out = out.withColumn("_mix_cut", _first_words(F.when(short, quoted(text)), F.col("_mix_hold"))).withColumn("_mix_text", F.coalesce("_mix_cut", quoted(text)))
     fresh = {text: F.col("_mix_text")} | ({n_chars: F.length("_mix_text").cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
     return out.select(*[fresh[c].alias(c) if c in fresh else quoted(c) for c in docs.columns])
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its nth word; null stays null."""
+    def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for t, k in zip(texts, counts, strict=True):
+            if t is None or t != t:
+                out.append(None)
+                continue
+            raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
+            ends = word_bounds(raw, np.array([0, len(raw)]))[1]
+            out.append(raw[: ends[int(k) - 1]].tobytes().decode("utf-8", "surrogatepass") if int(k) <= len(ends) else t)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(cut, "string")(text, n)
+
+
+def _repeats(plan: DataFrame) -> bool:
+    """Whether rows alike in all columns stand in the plan."""
+    return not plan.groupBy("key", "tag").count().where("count > 1").isEmpty()
+
+
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """One of each set of rows alike in all columns."""
+    return rows.dropDuplicates([key, "_mix_own"])

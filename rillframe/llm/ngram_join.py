@@ -22,7 +22,9 @@ from rillframe.llm.graph import components
 _U = np.uint64
 #: A document in so many tells which n-grams are frequent, and at least so many of these must hold one; the order of columns alone
 #: depends on that, never the result. At most FREQUENT are told apart.
-SAMPLE, SEEN, FREQUENT = 32, 3, 1 << 16
+SAMPLE, SEEN, FREQUENT = 16, 2, 1 << 18
+#: Rows that meet in a column are paired one by one up to so many; more are paired in blocks of about as many.
+GROUP = 256
 #: Up to so many keys are sent to all executors to pick texts; more are joined by a shuffle.
 SENT = 400_000
 
@@ -102,9 +104,9 @@ def _packed(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def _meeting(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(gram, node, n) for leading columns that several different rows share."""
+    """(gram, node, n, place) for leading columns that several different rows share; place: how many columns lead it in the row."""
     spark = rows.sparkSession
-    cells = rows.select(F.explode("lead").alias("gram"), "node", "n")
+    cells = rows.select(F.posexplode("lead").alias("place", "gram"), "node", "n").select("gram", "node", F.col("n").cast("int").alias("n"), "place")
     known = np.sort(frequent.view(np.int64))
 
     def common(want):
@@ -139,7 +141,7 @@ def _meeting(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
             keep[:-1] |= same
             yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    schema = "gram bigint, node bigint, n bigint"
+    schema = "gram bigint, node bigint, n int, place int"
     rare = cells.mapInArrow(common(False), schema) if len(known) else cells
     rare = rare.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "node").mapInArrow(runs, schema)
     if len(known):
@@ -148,29 +150,117 @@ def _meeting(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     return stored(rare, "cells")
 
 
-def _fits(a, b, per_cent: int):
-    """Whether the sizes allow the similarity: the smaller is at least that share of the larger."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * per_cent)
+def _fits(n, m, i, j, per_cent: int):
+    """Whether rows of sizes n and m can be similar enough that first meet in a column which i and j columns lead.
+
+    The smaller size must be at least that share of the larger, and what leads the first common column is in one row only, so it counts
+    against the number of columns that such rows can differ by. Similar rows pass at their first common column.
+    """
+    n, m = n.cast("long"), m.cast("long")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * per_cent) & ((i + j) * (100 + per_cent) <= (n + m) * (100 - per_cent))
 
 
 def _first_pairs(cells: DataFrame, per_cent: int) -> DataFrame:
     """Each row with one of those that it meets in a column: another one for each column, by hash."""
-    heads = cells.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "node").alias("by"), "node", "n")).alias("head"))
-    pairs = cells.join(heads, "gram").where((F.col("node") != F.col("head.node")) & _fits(F.col("n"), F.col("head.n"), per_cent))
+    heads = cells.groupBy("gram").agg(F.min(F.struct("place", F.xxhash64("gram", "node").alias("by"), "node", "n")).alias("head"))
+    pairs = cells.join(heads, "gram").where((F.col("node") != F.col("head.node")) & _fits(F.col("n"), F.col("head.n"), F.col("place"), F.col("head.place"), per_cent))
     return pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
 
 
-def _other_pairs(cells: DataFrame, groups: DataFrame, per_cent: int) -> DataFrame:
-    """All pairs that meet in a column, whose sizes fit, and whose ends aren't linked yet."""
-    known = cells.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = stored(known, "cells")
-    mixed = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    left = known.join(mixed, "gram")
-    right = left.select("gram", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    met = left.join(right, "gram").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & _fits(F.col("n"), F.col("m"), per_cent))
+def _apart(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """Cells, with components, of columns whose rows aren't all linked yet, and how many rows meet there."""
+    known = stored(cells.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "cells")
+    mixed = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("met")).where("low <> high").select("gram", "met")
+    return stored(known.join(mixed, "gram"), "apart")
+
+
+def _other_pairs(apart: DataFrame, per_cent: int) -> DataFrame:
+    """All pairs that meet in a column of few rows, whose sizes fit, and whose ends aren't linked yet."""
+    left = apart.where(F.col("met") <= GROUP)
+    right = left.select("gram", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("component").alias("other"))
+    met = left.join(right, "gram").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other")) & _fits(F.col("n"), F.col("m"), F.col("place"), F.col("j"), per_cent))
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
+def _block_links(apart: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Links between rows that meet in a column of many rows: each block of them against each, by a product of their incidence matrices.
+
+    No pair leaves a task but the links that connect what a pair of blocks connects, fewer than it has rows.
+    """
+    many = apart.where(F.col("met") > GROUP)
+    sets = _sets(many.select("node").distinct(), docs, rows, width)
+    count = F.ceil(F.col("met") / GROUP).cast("int")
+    own = F.pmod(F.xxhash64("node"), count).cast("int")
+    spread = many.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
+    spread = spread.select("gram", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "node", "n", "place", "component").join(sets, "node")
+    names = ["gram", "x", "y", "own", "node", "n", "place", "component", "grams"]
+
+    def product(t: pa.Table):
+        get = lambda c: t.column(c).to_numpy()
+        node, n, place, component, own = (get(c) for c in ("node", "n", "place", "component", "own"))
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        both = n[:, None] + n
+        fit = (np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * per_cent) & ((place[:, None] + place) * (100 + per_cent) <= both * (100 - per_cent))
+        fit &= component[:, None] != component
+        if get("x")[0] != get("y")[0]:
+            fit &= own[:, None] != own
+        use = np.flatnonzero(fit.any(1))
+        if not len(use):
+            return
+        batch = t.take(pa.array(use)).combine_chunks().to_batches()[0]
+        value, of, _ = _cells([(d, o) for _, d, o in blocks(batch, "grams", 1 << 30)])
+        _, column, often = np.unique(value, return_inverse=True, return_counts=True)
+        keep = often[column] > 1
+        _, column = np.unique(column[keep], return_inverse=True)
+        of, overlap = of[keep], np.zeros((len(use), len(use)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, of = column[order], of[order]
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            i, j = np.searchsorted(column, (a, a + 2048))
+            ones = np.zeros((len(use), 2048), np.float32)
+            ones[of[i:j], column[i:j] - a] = 1
+            overlap += ones @ ones.T
+        near = fit[np.ix_(use, use)] & (100 * overlap >= per_cent * (both[np.ix_(use, use)] - overlap))
+        a, b = _forest(near)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(node[use[a]]), pa.array(node[use[b]])], names=["a", "b"])
+
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            key = np.stack([held.column(c).to_numpy() for c in ("gram", "x", "y")])
+            heads = np.append(0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1)
+            for i, j in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+                yield from product(held.slice(i, j - i))
+            held = held.slice(int(heads[-1])).combine_chunks()
+        if held is not None:
+            yield from product(held)
+
+    ordered = spread.select(names).repartition(partitions(apart.sparkSession), "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
+    return stored(ordered.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of links that connect what the symmetric matrix connects, one for each row reached."""
+    seen, a, b = np.zeros(len(near), bool), [], []
+    for root in range(len(near)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        front = np.array([root])
+        while len(front):
+            new = np.flatnonzero(near[front].any(0) & ~seen)
+            a.append(front[near[np.ix_(front, new)].argmax(0)])
+            b.append(new)
+            seen[new] = True
+            front = new
+    return np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
+
+
 def _both(pairs: DataFrame, sides: DataFrame, value: str) -> DataFrame:
     """pairs (a, b) with x and y: the values of the nodes a and b, and the sizes n and m if there are any."""
     more = ["n"] if "n" in sides.columns else []
@@ -215,10 +305,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: overlaps added up over the least columns and then, where the bound allows, over whole rows."""
-    pairs = stored(_possible(stored(pairs, "pairs"), rows, per_cent), "possible")
-    one = rows.join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+def _sets(nodes: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(node, grams): the whole sets of the nodes, packed, made anew from one text of each."""
+    one = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     one = stored(one.where("key is not null"), "needed")
     texts = docs.where("key is not null")
     if one.count() <= SENT:
@@ -236,7 +325,13 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_c
 
     sets = annotate(texts, compute, "node bigint, grams binary", keep=["key"]).join(one, ["node", "key"], "left_semi")
     sets = sets.groupBy("node").agg(F.first("grams").alias("grams"))  # a key may stand in several rows
-    sets = stored(sets, "sets")
+    return stored(sets, "sets")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough: overlaps added up over the least columns and then, where the bound allows, over whole rows."""
+    pairs = stored(_possible(stored(pairs, "pairs"), rows, per_cent), "possible")
+    sets = _sets(_ends(pairs), docs, rows, width)
     joined = _both(pairs, sets, "grams").select("a", "b", "x", "y")
 
     def run(batches):
@@ -266,8 +361,8 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
     Two rows link when 100 * overlap >= per_cent * union of their sets of `width`-word n-grams (words: [^\\x20\\x09-\\x0D]+, A-Z lowered; a row
     of fewer words is one n-gram). Rows without words and null texts have empty sets and link with nothing, so each is its own component.
-    Equal sets are linked. Sets are compared by 64-bit hashes, a pair's overlap by 40 bits of them. Repeated rows are copies; a null key
-    counts as no key: such a row's component is the least other key, or null. An empty table gives no rows; other columns don't matter.
+    Equal sets are linked. Sets are compared by 64-bit hashes, a pair's overlap by 40 bits of them. Repeated rows are copies; rows
+    without a key link by equal sets only, and their component is the least key of these, or null. An empty table gives no rows; other columns don't matter.
     """
     docs = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
     frequent = _frequent(docs, width)
@@ -275,7 +370,10 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     cells = _meeting(rows, frequent)
     links = _links(_first_pairs(cells, per_cent), docs, rows, width, per_cent)
     groups = components(links)
-    more = _links(_other_pairs(cells, groups, per_cent), docs, rows, width, per_cent)
+    apart = _apart(cells, groups)
+    more = _links(_other_pairs(apart, per_cent), docs, rows, width, per_cent)
+    if not apart.where(F.col("met") > GROUP).isEmpty():
+        more = more.unionByName(_block_links(apart, docs, rows, width, per_cent))
     groups = components(links.unionByName(more)) if not more.isEmpty() else groups
     own = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
     named = own.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
