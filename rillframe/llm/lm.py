@@ -9,6 +9,7 @@ class has its smoothed corpus share. So a piece sequence has a probability, and
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ HEAD = 1 << 18
 #: so many; piece and word counts come from all.
 TRAINED, LEAST = 1 / 32, 1 << 21
 #: Windows that a task trains on, about, and the least number of steps of a task in a round (few windows are gone over again).
-TASK, STEPS = 1 << 16, 1500
+TASK, STEPS = 1 << 16, 1200
 #: What each piece of a path costs besides its own weight.
 PIECE_COST = -3.0
 #: The end of a text among word hashes.
@@ -154,12 +155,22 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(x - top[:, None]).sum(1))).astype(np.float32)
 
 
+def _log_total(z: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's sum of exponentials; z is lost."""
+    if float(z.max(initial=0)) > 80:
+        top = z.max(1)
+        z -= top[:, None]
+        return top + np.log(np.exp(z).sum(1))
+    np.exp(z, out=z)
+    return np.log(z @ np.ones(z.shape[1], np.float32))
+
+
 class Network:
     """One layer of causal self-attention and one of ReLU units over class ids, all arrays float32."""
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = p
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.past = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     @staticmethod
     def fresh(prior: np.ndarray, width: int = 16, units: int = 32, seed: int = 9) -> Network:
@@ -175,36 +186,39 @@ class Network:
     def hidden(self, x: np.ndarray):
         p, (b, t) = self.p, x.shape
         d = p["e"].shape[1]
-        h0 = p["e"][x] + p["pos"][:t]
-        qkv = h0.reshape(-1, d) @ p["qkv"]
-        q, k, v = (np.ascontiguousarray(qkv[:, i * d : (i + 1) * d]).reshape(b, t, d) for i in range(3))
+        h0 = np.take(p["e"], x, axis=0)
+        h0 += p["pos"][:t]
+        flat = h0.reshape(-1, d)
+        q, k, v = ((flat @ p["qkv"][:, i * d : (i + 1) * d]).reshape(b, t, d) for i in range(3))
         q *= np.float32(d**-0.5)
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a += self.mask[:t, :t]
-        np.minimum(a, 60, out=a)
+        if max(float(a.max(initial=0)), -float(a.min(initial=0))) > 60:
+            np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
+        a *= self.past[:t, :t]
+        total = a.sum(2, keepdims=True)
         m = np.matmul(a, v)
-        h1 = h0.reshape(-1, d) + m.reshape(-1, d) @ p["o"]
+        m /= total
+        h1 = m.reshape(-1, d) @ p["o"]
+        h1 += flat
         u = h1 @ p["w1"]
         u += p["b1"]
         np.maximum(u, 0, out=u)
-        h2 = h1 + u @ p["w2"]
-        return h2, (h0, q, k, v, a, m, h1, u)
+        h2 = u @ p["w2"]
+        h2 += h1
+        return h2, (h0, q, k, v, a, total, m, h1, u)
 
     def log_chance(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target class."""
         p = self.p
-        group, own = np.divmod(target, GROUPS)
-        order = np.argsort(group, kind="stable")
+        group, own = np.divmod(target.astype(np.int16), np.int16(GROUPS))
+        order = np.argsort(group.astype(np.int8), kind="stable")
         h, group, own = h[order], group[order], own[order]
+        at = np.arange(len(h))
         z = h @ p["group"]
         z += p["group_bias"]
-        at = np.arange(len(z))
         found = z[at, group]
-        np.minimum(z, 60, out=z)
-        np.exp(z, out=z)
-        found -= np.log(z.sum(1))
+        found -= _log_total(z)
         ends = np.searchsorted(group, np.arange(GROUPS + 1))
         for g in range(GROUPS):
             a, b = ends[g], ends[g + 1]
@@ -212,9 +226,7 @@ class Network:
                 z = h[a:b] @ p["class"][g]
                 z += p["class_bias"][g]
                 found[a:b] += z[at[: b - a], own[a:b]]
-                np.minimum(z, 60, out=z)
-                np.exp(z, out=z)
-                found[a:b] -= np.log(z.sum(1))
+                found[a:b] -= _log_total(z)
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -223,7 +235,8 @@ class Network:
         """Mean loss and gradients over places of weight 1; x, target, weight: windows by places."""
         p, (b, t) = self.p, x.shape
         d = p["e"].shape[1]
-        h, (h0, q, k, v, a, m, h1, u) = self.hidden(x)
+        h, (h0, q, k, v, a, sums, m, h1, u) = self.hidden(x)
+        a /= sums
         scored = np.flatnonzero(weight.ravel())
         group, own = np.divmod(target.ravel()[scored], GROUPS)
         order = np.argsort(group, kind="stable")
@@ -326,7 +339,7 @@ def windows(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 class PieceCache:
     """Pieces of the words met so far, at most `most` words; a task meets frequent words over and over."""
 
-    def __init__(self, v: Vocabulary, most: int = 500_000):
+    def __init__(self, v: Vocabulary, most: int = 1_000_000):
         self.v, self.most = v, most
         self.clear()
 
@@ -350,6 +363,12 @@ class PieceCache:
         return self.flat, self.begin[at], self.size[at]
 
 
+@lru_cache(maxsize=1)
+def piece_cache(model: str) -> PieceCache:
+    """One for each Python worker: what a task has met serves the next one."""
+    return PieceCache(vocabulary(model))
+
+
 def _pieces_of_block(cache: PieceCache, data, offsets):
     """Per text in order: piece ids of all words, and how many; the block's different words, their occurrences, and words of each text."""
     low, starts, ends, unique, which, counts = unique_words(data, offsets)
@@ -364,7 +383,7 @@ def _pieces_of_block(cache: PieceCache, data, offsets):
 def _count_words(docs: DataFrame, model: str) -> tuple[DataFrame, np.ndarray]:
     """(word, c) over all training texts, the end among them, and how many pieces of each kind they hold."""
     def run(batches):
-        cache = PieceCache(vocabulary(model))
+        cache = piece_cache(model)
         pieces = np.zeros(len(cache.v.pieces))
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -426,7 +445,7 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
     names = sorted(net.p)
 
     def cut(batches):
-        cache = PieceCache(vocabulary(model))
+        cache = piece_cache(model)
         for b in batches:
             for _, data, offsets in blocks(b):
                 ids, counts, *_ = _pieces_of_block(cache, data, offsets)
@@ -462,7 +481,7 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
     return net
 
 
-def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", folds: int = 5, hold: int = 1, rounds: int = 2, rate: float = 0.015, batch: int = 16, seed: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", folds: int = 5, hold: int = 1, rounds: int = 2, rate: float = 0.03, batch: int = 64, seed: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; learnt from rows whose crc32(key) modulo `folds` isn't `hold`.
 
     Tokens are the words ([^\\x20\\x09-\\x0D]+, A-Z lowered) and one end. base_score adds log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the
@@ -487,7 +506,7 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
 
     def run(batches):
         words, often, p, classes = shared.value
-        cache, net = PieceCache(vocabulary(model)), Network(p)
+        cache, net = piece_cache(model), Network(p)
         end_known = int(ends > 0)
         end_base = np.log10(ends + 0.5) - below
         for batch in batches:
@@ -524,10 +543,11 @@ def _scores(net: Network, classes: Classes, ids: np.ndarray, sizes: np.ndarray)
     own = classes.of[ids].astype(np.int64)
     x, y, fresh = windows(own, sizes)
     chance = []
-    for a in range(0, len(x), 256):
-        h, _ = net.hidden(x[a : a + 256])
-        pick = fresh[a : a + 256].ravel()
-        chance.append(net.log_chance(h[pick], y[a : a + 256].ravel()[pick]))
+    for a in range(0, len(x), 512):
+        # few windows at once, so that their arrays stay in the cache
+        h = np.concatenate([net.hidden(x[b : min(b + 64, a + 512)])[0] for b in range(a, min(a + 512, len(x)), 64)])
+        pick = fresh[a : a + 512].ravel()
+        chance.append(net.log_chance(h[pick], y[a : a + 512].ravel()[pick]))
     total = np.concatenate(chance).astype(float) if chance else np.zeros(0)
     m = len(sizes)
     out = np.bincount(np.repeat(np.arange(m), sizes + 1), total, m)
