@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillframe.session import ship as ship_package
+
 #: Bytes of text that one numpy block holds at most (a longer document is a block of its own).
 BLOCK = 2_000_000
 
@@ -189,24 +191,7 @@ def quoted(name: str) -> Column:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the Python workers this package, wherever they run, and texts in small batches; once for each Spark application."""
-    import os
-    import zipfile
-
-    context = spark.sparkContext
+    """The package on all workers, and texts in small batches."""
     for key, value in BATCHES.items():
         spark.conf.set(key, value)
-    if getattr(context, "_rillframe_shipped", False):
-        return spark
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(top):  # else the package is in an archive that Spark has distributed
-        archive = os.path.join(tempfile.mkdtemp(prefix="rillframe-code-"), "rillframe_code.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for folder, _, names in os.walk(top):
-                for name in names:
-                    if name.endswith(".py"):
-                        path = os.path.join(folder, name)
-                        z.write(path, os.path.join("rillframe", os.path.relpath(path, top)))
-        context.addPyFile(archive)
-    context._rillframe_shipped = True
-    return spark
+    return ship_package(spark)
