@@ -18,11 +18,45 @@ from pyspark.sql import functions as F
 from rillframe.session import ship as ship_package
 
 #: Bytes of text that one numpy block holds at most (a longer document is a block of its own).
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 #: What one Arrow batch holds at most; texts differ in length by a factor of thousands, so rows alone don't bound it.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "5000"}
 
+def _lean_malloc() -> None:
+    """Large arrays go back to the system as soon as they are dropped, so that a worker's memory is that of its largest block."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what was freed
+    except OSError:  # another C library
+        return
+
+
+_lean_malloc()
+
+
+def tidy() -> None:
+    """Give unused memory back at the end of a task: workers stay for the next one."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        return
+
+
+def tidied(run):
+    """A function over batches that tidies up when its batches are done."""
+
+    def tidy_run(batches):
+        yield from run(batches)
+        tidy()
+
+    return tidy_run
+
+
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -182,7 +216,7 @@ def annotate(df: DataFrame, compute, fields: str, text: str = "text", keep: list
                 arrays = compute(data, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=keep + new)
 
-    return fed.mapInArrow(run, schema)
+    return fed.mapInArrow(tidied(run), schema)
 
 
 def quoted(name: str) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import quoted, remainder, text_bytes, blocks
+from rillframe.llm.common import blocks, quoted, remainder, text_bytes, tidied
 
 #: Text is cut into stretches of so many bytes; the network reads each from both ends and labels all its positions.
 STRETCH = 128
@@ -215,4 +215,4 @@ def identify_language(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     score = np.where(ok, np.clip(total[np.arange(n), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("held_out"), pa.array(names.tolist(), pa.string()), pa.array(score)], names=["key", "held_out", "lang_pred", "score"])
 
-    return fed.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return fed.mapInArrow(tidied(run), schema).withColumnRenamed("key", key)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import _BYTE_KEYS, _LOWER, blocks, mix, quoted, remainder, rolling, stored, substring_hash, text_bytes, word_bounds
+from rillframe.llm.common import blocks, _BYTE_KEYS, _LOWER, mix, quoted, remainder, rolling, stored, substring_hash, text_bytes, tidied, word_bounds
 from rillframe.llm.pieces import LONGEST, WIDTHS, Vocabulary, vocabulary, _DOWN, _UP
 
 _U = np.uint64
@@ -416,7 +416,7 @@ def _count_words(docs: DataFrame, model: str) -> tuple[DataFrame, np.ndarray]:
             yield from rows(*merged())
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([pieces.tobytes()], pa.binary())], names=["word", "c", "pieces"])
 
-    raw = stored(docs.select(text_bytes().alias("text")).mapInArrow(run, "word bigint, c bigint, pieces binary"), "words")
+    raw = stored(docs.select(text_bytes().alias("text")).mapInArrow(tidied(run), "word bigint, c bigint, pieces binary"), "words")
     counts = stored(raw.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     pieces = _summed(raw.where("pieces is not null").select("pieces"))
     return counts, pieces if len(pieces) else np.zeros(len(vocabulary(model).pieces))
@@ -435,7 +435,7 @@ def _summed(vectors: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=[name])
 
-    rows = vectors.repartition(4).mapInArrow(run, f"{name} binary").collect()
+    rows = vectors.repartition(4).mapInArrow(tidied(run), f"{name} binary").collect()
     return np.sum([np.frombuffer(r[0]) for r in rows], axis=0) if rows else np.zeros(0)
 
 
@@ -454,7 +454,7 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
                     body = [np.ascontiguousarray(z[a : a + 1024]).astype(np.uint16).tobytes() for z in (x, y, w)]
                     yield pa.RecordBatch.from_arrays([pa.array([z], pa.binary()) for z in body], names=["x", "y", "w"])
 
-    made = stored(docs.select(text_bytes().alias("text")).mapInArrow(cut, "x binary, y binary, w binary"), "windows")
+    made = stored(docs.select(text_bytes().alias("text")).mapInArrow(tidied(cut), "x binary, y binary, w binary"), "windows")
     rows = made.agg(F.coalesce(F.sum(F.length("x")), F.lit(0))).first()[0] // (2 * WINDOW)
     made = stored(made.repartition(max(1, -(-rows // TASK))), "windows")
     for turn in range(rounds):
@@ -470,7 +470,7 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], *[n * own.p[k].ravel().astype(float) for k in names]]).tobytes()], pa.binary())], names=["sums"])
 
-        sums = _summed(made.mapInArrow(learn, "sums binary"))
+        sums = _summed(made.mapInArrow(tidied(learn), "sums binary"))
         if not len(sums):
             break
         at, new = 1, {}
@@ -527,7 +527,7 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
                     names=["key", "held_out", "n_tokens", "known", "base", "score", "rare"],
                 )
 
-    scored = stored(slim.select("key", "held_out", text_bytes().alias("text")).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = stored(slim.select("key", "held_out", text_bytes().alias("text")).mapInArrow(tidied(run), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     # occurrences of rarer words meet their counts; words that no training text holds add log10(0.5)
     rare = scored.select("row", F.explode("rare").alias("word"))
     more = rare.join(counts, "word", "left").groupBy("row").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"))

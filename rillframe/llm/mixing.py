@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, partitions, quoted, stored, word_bounds
+from rillframe.llm.common import annotate, partitions, quoted, stored, tidied, word_bounds
 
 #: Weights by the rank of a source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -49,7 +49,7 @@ def _sorted_runs(df: DataFrame, order: list[str], group: list[str], label: str)
                 total += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], names=[*batch.schema.names, "_before"])
 
-    return stored(ranged.mapInArrow(run, schema), label)
+    return stored(ranged.mapInArrow(tidied(run), schema), label)
 
 
 def prefix_sums(df: DataFrame, order: list[str], group: list[str], label: str = "runs") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, blocks, mix, partitions, quoted, remainder, stored, text_bytes, word_hashes
+from rillframe.llm.common import annotate, blocks, mix, partitions, quoted, remainder, stored, text_bytes, tidied, word_hashes
 from rillframe.llm.graph import components
 
 _U = np.uint64
@@ -63,7 +63,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
                 hashes, _ = shingles(data, offsets, width)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["gram"])
 
-    sample = docs.where(remainder("key", SAMPLE) == 0).select(text_bytes().alias("text")).mapInArrow(run, "gram bigint")
+    sample = docs.where(remainder("key", SAMPLE) == 0).select(text_bytes().alias("text")).mapInArrow(tidied(run), "gram bigint")
     often = sample.groupBy("gram").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "gram").limit(FREQUENT)
     return np.array([r[0] for r in reversed(often.collect())], np.int64).view(np.uint64)
 
@@ -142,11 +142,11 @@ def _meeting(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
             yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
     schema = "gram bigint, node bigint, n int, place int"
-    rare = cells.mapInArrow(common(False), schema) if len(known) else cells
-    rare = rare.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "node").mapInArrow(runs, schema)
+    rare = cells.mapInArrow(tidied(common(False)), schema) if len(known) else cells
+    rare = rare.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "node").mapInArrow(tidied(runs), schema)
     if len(known):
         # grams that a very large group may share: distinct cells by partial sums, never a whole group in one task
-        rare = rare.unionByName(cells.mapInArrow(common(True), schema).distinct())
+        rare = rare.unionByName(cells.mapInArrow(tidied(common(True)), schema).distinct())
     return stored(rare, "cells")
 
 
@@ -241,7 +241,7 @@ def _block_links(apart: DataFrame, docs: DataFrame, rows: DataFrame, width: int,
             yield from product(held)
 
     ordered = spread.select(names).repartition(partitions(apart.sparkSession), "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
-    return stored(ordered.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    return stored(ordered.mapInArrow(tidied(run), "a bigint, b bigint").distinct(), "links")
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +298,7 @@ def _possible(pairs: DataFrame, rows: DataFrame, per_cent: int) -> DataFrame:
             apart = np.bincount(left[1], minlength=k) + np.bincount(right[1], minlength=k) - 2 * shared
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(apart * (100 + per_cent) <= (n + m) * (100 - per_cent)))
 
-    return joined.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "x", "y", "n", "m").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_c
             union = left[2] + right[2] - overlap
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(100 * overlap >= per_cent * union))
 
-    return stored(joined.mapInArrow(run, "a bigint, b bigint"), "links")
+    return stored(joined.mapInArrow(tidied(run), "a bigint, b bigint"), "links")
 
 
 def _cells(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import _BYTE_KEYS, annotate, mix, quoted, rolling, substring_hash
+from rillframe.llm.common import annotate, _BYTE_KEYS, mix, quoted, rolling, substring_hash, tidied
 
 #: Longest piece in bytes; longer ones of the vocabulary take no part.
 LONGEST = 16
 #: Runs up to each of these lengths go through numpy together; longer ones one at a time.
 WIDTHS = (4, 8, 12, 16, 24, 40, 64)
-#: Bytes of text at once, and different runs at once.
-TEXTS, RUNS = 6_000_000, 12_000
+#: Bytes of text at once, and bytes of different runs at once.
+TEXTS, RUNS = 3_000_000, 100_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _UP = np.array([pow(_BASE, i, 2**64) for i in range(LONGEST + WIDTHS[-1] + 1)], np.uint64)
@@ -180,8 +180,8 @@ def sample_pieces(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: n
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
             firsts = np.append(np.flatnonzero(new), len(h))
-            for a in range(0, len(firsts) - 1, RUNS):
-                b = min(a + RUNS, len(firsts) - 1)
+            for a in range(0, len(firsts) - 1, RUNS // width):
+                b = min(a + RUNS // width, len(firsts) - 1)
                 unique, own = these[firsts[a:b]], these[firsts[a] : firsts[b]]
                 at = np.minimum(starts[unique][:, None] + np.arange(width), size - 1)
                 cumulative, ids = _forward(v, data[at])
@@ -256,7 +256,7 @@ def _encode(fed: DataFrame, model: str, alpha: float) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [lists, pa.array(counts, pa.int32()), pa.array(fine, pa.bool_())], names=[*keep, "ids", "n_pieces", "lossless"])
 
-    return fed.mapInArrow(run, schema)
+    return fed.mapInArrow(tidied(run), schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -272,4 +272,4 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
             found = [None if x is None else decode_pieces(v, np.array(x, np.int64)).tobytes() for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(found, pa.binary())], names=[*keep, "__decoded"])
 
-    return df.select(*[quoted(c) for c in keep]).mapInArrow(run, schema).withColumn(out, F.col("__decoded").cast("string")).drop("__decoded")
+    return df.select(*[quoted(c) for c in keep]).mapInArrow(tidied(run), schema).withColumn(out, F.col("__decoded").cast("string")).drop("__decoded")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, quoted, remainder, stored, substring_hash, rolling, word_bounds
+from rillframe.llm.common import annotate, quoted, remainder, rolling, stored, substring_hash, tidied, word_bounds
 
 #: Byte classes, each a statistic of its own (share and logarithm of the count).
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\x0b\x0c\r", "\n", ".", ",", "!?", "|", "#$%&*", "\"'()[]{}<>", ":;=/\\", "-_+~^`@")
@@ -104,7 +104,7 @@ def _sums(df: DataFrame, compute, width: int) -> np.ndarray:
                 total += np.frombuffer(x.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = df.select("stats", "label").mapInArrow(part, "sums binary").repartition(4).mapInArrow(merge, "sums binary")
+    parts = df.select("stats", "label").mapInArrow(tidied(part), "sums binary").repartition(4).mapInArrow(tidied(merge), "sums binary")
     return sum((np.frombuffer(r[0]) for r in parts.collect()), np.zeros(width))
 
 
@@ -172,7 +172,7 @@ def score_statistics(stats: DataFrame, model: QualityModel, keep: list[str], thr
             s = model.score(_matrix(b.column("stats"))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], names=[*keep, "score", "predicted"])
 
-    return stats.select(*keep, "stats").mapInArrow(run, schema)
+    return stats.select(*keep, "stats").mapInArrow(tidied(run), schema)
 
 
 def _labelled(stats: DataFrame, labels: DataFrame, key: str, label: str, learn) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, blocks, mix, partitions, quoted, rolling, stored, substring_hash, text_bytes
+from rillframe.llm.common import annotate, blocks, mix, partitions, quoted, rolling, stored, substring_hash, text_bytes, tidied
 
 #: Shortest repeated string that goes, and bytes of a gram.
 LENGTH, GRAM = 200, 60
@@ -87,7 +87,7 @@ def _anchor_rows(texts: DataFrame, whole: bool) -> DataFrame:
                     arrays += [units(offsets, sums)[doc], (places - offsets[:-1][doc]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["gram", "around", "unit", "place"][: len(arrays)])
 
-    return texts.select("text").mapInArrow(run, "gram bigint, around bigint" + ", unit bigint, place int" * whole)
+    return texts.select("text").mapInArrow(tidied(run), "gram bigint, around bigint" + ", unit bigint, place int" * whole)
 
 
 # --- sorting
@@ -289,7 +289,7 @@ def _cut_out(texts: DataFrame, wanted: DataFrame, large: bool) -> DataFrame:
                     else:
                         yield pa.RecordBatch.from_arrays([pa.array(unit[c]), pa.array(place[c].astype(np.int32)), *made], names=["unit", "place", *names])
 
-    return joined.withColumn("text", text_bytes("text")).mapInArrow(run, schema)
+    return joined.withColumn("text", text_bytes("text")).mapInArrow(tidied(run), schema)
 
 
 def _sorted_extents(around: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def _sorted_extents(around: DataFrame) -> DataFrame:
         if held is not None:
             yield from solve(held)
 
-    return around.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "around").mapInArrow(run, "unit bigint, a bigint, b bigint")
+    return around.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "around").mapInArrow(tidied(run), "unit bigint, a bigint, b bigint")
 
 
 def _counted_extents(strings: DataFrame) -> DataFrame:
@@ -418,4 +418,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lar
                 digest = [hashlib.sha256(k).hexdigest() for k in kept]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return joined.mapInArrow(tidied(run), schema).withColumnRenamed("key", key)
