@@ -139,7 +139,8 @@ def python_map_err(s: Ordered, fn: Callable, kind: str, value: str = "value") ->
     """A Python function of the value, whose exceptions become errors; over Arrow batches."""
     from pyspark.sql.types import StructType
 
-    kept = [s.df.schema[c] for c in s.order]
+    order = s.order
+    kept = [s.df.schema[c] for c in order]
     schema = StructType(kept + list(StructType.fromDDL(f"ok boolean, value {kind}, err string")))
 
     def attempt(x):
@@ -153,7 +154,7 @@ def python_map_err(s: Ordered, fn: Callable, kind: str, value: str = "value") ->
 
         for pdf in batches:
             found = pd.DataFrame([attempt(x) for x in pdf[value]], columns=["ok", "value", "err"], dtype=object)
-            yield pd.concat([pdf[s.order].reset_index(drop=True), found], axis=1)
+            yield pd.concat([pdf[order].reset_index(drop=True), found], axis=1)
 
     return s.with_df(s.df.mapInPandas(run, schema))
 

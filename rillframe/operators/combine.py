@@ -158,7 +158,7 @@ def permutations(s: Ordered, value: str = "value", most: int = 10) -> Ordered:
                 if len(values) > most:
                     raise ValueError(f"{len(values)} rows have too many permutations")
                 found = heap_permutations(list(values))
-                yield pd.DataFrame({"__o": range(len(found)), "value": found})
+                yield pd.DataFrame({"__o": range(len(found)), "value": pd.Series(found, dtype=object)})
 
     return Ordered(rows.mapInPandas(run, schema), ["__o"])
 

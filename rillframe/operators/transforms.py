@@ -28,7 +28,8 @@ map_to = map_
 def map_rows(s: Ordered, fn: Callable, schema: str | StructType) -> Ordered:
     """A Python function of one row (a dict), giving a dict; rows go through in Arrow batches. The order columns are kept."""
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    full = StructType([f for f in kind if f.name not in s.order] + [s.df.schema[c] for c in s.order])
+    order = s.order
+    full = StructType([f for f in kind if f.name not in order] + [s.df.schema[c] for c in order])
 
     def run(batches):
         import pandas as pd
@@ -36,7 +37,7 @@ def map_rows(s: Ordered, fn: Callable, schema: str | StructType) -> Ordered:
         for pdf in batches:
             rows = [fn(r) for r in pdf.to_dict("records")]
             out = pd.DataFrame(rows, columns=[f.name for f in kind])
-            yield out.assign(**{c: pdf[c].to_numpy() for c in s.order})[[f.name for f in full]]
+            yield out.assign(**{c: pdf[c].to_numpy() for c in order})[[f.name for f in full]]
 
     return s.with_df(s.df.mapInPandas(run, full))
 
@@ -77,14 +78,14 @@ flatten_seq = flatten
 
 def flat_map_rows(s: Ordered, fn: Callable[[dict], Iterable], kind: str, value: str = "value") -> Ordered:
     """flat_map with a Python function of one row that gives values of the type `kind`."""
-    at = f"__o{len(s.order)}"
-    schema = StructType([s.df.schema[c] for c in s.order] + list(StructType.fromDDL(f"`{at}` int, `{value}` {kind}")))
+    at, order = f"__o{len(s.order)}", s.order
+    schema = StructType([s.df.schema[c] for c in order] + list(StructType.fromDDL(f"`{at}` int, `{value}` {kind}")))
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = [(*[r[c] for c in s.order], i, v) for r in pdf.to_dict("records") for i, v in enumerate(fn(r))]
+            out = [(*[r[c] for c in order], i, v) for r in pdf.to_dict("records") for i, v in enumerate(fn(r))]
             yield pd.DataFrame(out, columns=[f.name for f in schema])
 
     return Ordered(s.df.mapInPandas(run, schema), [*s.order, at])

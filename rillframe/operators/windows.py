@@ -107,8 +107,10 @@ def scan_python(s: Ordered, init, step: Callable, by: list[str], kind: str, valu
 
     schema = StructType([s.df.schema[c] for c in dict.fromkeys([*by, *s.order])] + list(StructType.fromDDL(f"`{out}` {kind}")))
 
+    order = s.order
+
     def run(pdf):
-        pdf = pdf.sort_values(s.order)
+        pdf = pdf.sort_values(order)
         now, states = init, []
         for x in pdf[value]:
             now = step(now, x)
