@@ -193,6 +193,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow for columns of any names, on both sides; schema: the result's StructType."""
+    from pyspark.sql.types import StructField, StructType
+
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    made = StructType([StructField(f"r{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+
+    def renamed(batches):
+        out = [f"r{i}" for i in range(len(made))]
+        for b in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=out)
+
+    return plain.mapInArrow(tidied(renamed), made).toDF(*[f.name for f in schema])
+
+
 def annotate(df: DataFrame, compute, fields: str, text: str = "text", keep: list[str] | None = None, most: int = BLOCK) -> DataFrame:
     """df's columns (or those in `keep`) and the new ones that compute(bytes, offsets) returns for each block of texts.
 
@@ -216,7 +232,7 @@ def annotate(df: DataFrame, compute, fields: str, text: str = "text", keep: list
                 arrays = compute(data, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=keep + new)
 
-    return fed.mapInArrow(tidied(run), schema)
+    return map_arrow(fed, run, schema)
 
 
 def quoted(name: str) -> Column:

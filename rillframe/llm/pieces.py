@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, _BYTE_KEYS, mix, quoted, rolling, substring_hash, tidied
+from rillframe.llm.common import annotate, _BYTE_KEYS, map_arrow, mix, quoted, rolling, substring_hash
 
 #: Longest piece in bytes; longer ones of the vocabulary take no part.
 LONGEST = 16
@@ -256,7 +256,7 @@ def _encode(fed: DataFrame, model: str, alpha: float) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [lists, pa.array(counts, pa.int32()), pa.array(fine, pa.bool_())], names=[*keep, "ids", "n_pieces", "lossless"])
 
-    return fed.mapInArrow(tidied(run), schema)
+    return map_arrow(fed, run, schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -272,4 +272,4 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
             found = [None if x is None else decode_pieces(v, np.array(x, np.int64)).tobytes() for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(found, pa.binary())], names=[*keep, "__decoded"])
 
-    return df.select(*[quoted(c) for c in keep]).mapInArrow(tidied(run), schema).withColumn(out, F.col("__decoded").cast("string")).drop("__decoded")
+    return map_arrow(df.select(*[quoted(c) for c in keep]), run, schema).withColumn(out, F.col("__decoded").cast("string")).drop("__decoded")
