@@ -24,11 +24,13 @@ BLOCK = 1_000_000
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "5000"}
 
 def _lean_malloc() -> None:
-    """Large arrays go back to the system as soon as they are dropped, so that a worker's memory is that of its largest block."""
+    """Arrays of a block reuse the memory of the block before, without the system's clearing pages anew; tidy() gives it back after a task."""
     import ctypes
 
     try:
-        ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what was freed
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 512 << 20)  # M_TRIM_THRESHOLD
     except OSError:  # another C library
         return
 
