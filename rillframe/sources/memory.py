@@ -142,3 +142,6 @@ def from_channel(df: DataFrame) -> DataFrame:
 def seq(s: Ordered):
     """The rows one by one on the driver, in order."""
     return s.sorted().toLocalIterator()
+
+
+seq2, range_ctx, generate_ctx, iterate_ctx, from_channel_ctx = seq, range_, generate, iterate, from_channel

@@ -129,3 +129,6 @@ rate_limit_ctx = rate_limit
 def paced(writer, interval: str):
     """A stream writer that starts a micro-batch at most once in each interval."""
     return writer.trigger(processingTime=interval)
+
+
+tumbling_time_window, sliding_time_window, session_window = tumbling, sliding, session
