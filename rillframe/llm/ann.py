@@ -92,7 +92,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vec
         best = search_tree(block, shard, k + 3, factor)
         q, i = best.found()
         c = best.place[q, i]
-        score = np.clip(_exact(block["x"][q], shard["x"][c]), -1, 1) if len(q) else np.zeros(0)
+        score = _exact(block["x"][q], shard["x"][c]) if len(q) else np.zeros(0)
         by = np.lexsort((shard["id"][c], -score, q))
         q, c, score = q[by], c[by], score[by]
         first = np.arange(len(q)) - np.searchsorted(q, q) < k

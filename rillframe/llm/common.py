@@ -165,7 +165,7 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_kept: list[tuple[SparkSession, str]] = []
+_kept: dict[str, SparkSession] = {}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -173,17 +173,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rillframe-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _kept.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _kept[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _kept.pop(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for these frames; nothing that is still to run may read them."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path in _kept:
+            _delete(path)
 
 
 def forget_stored() -> None:
-    """Delete what stored() wrote. Frames that still read it stop working."""
+    """Delete all that stored() wrote and release() hasn't. Frames that still read it stop working."""
     while _kept:
-        spark, path = _kept.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(next(iter(_kept)))
         except Exception:  # the session is over; the folder is the cluster's to clean
             return
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import stored
+from rillframe.llm.common import release, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,11 +17,14 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "links")
     labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
     while True:
-        known = labels.withColumnsRenamed({"node": "other"})
+        known = labels.select(F.col("node").alias("other"), "label")
         near = both.join(known, "other").groupBy("node").agg(F.min("label").alias("near"))
-        moved = stored(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
+        moved = stored(labels.select("node", "label").join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
         jump = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = stored(moved.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if after.where(F.col("was") != F.col("label")).isEmpty():
-            return after.select("node", F.col("label").alias("component"))
-        labels = after.select("node", "label")
+        done = after.where(F.col("was") != F.col("label")).isEmpty()
+        release(moved, labels)
+        labels = after
+        if done:
+            release(both)
+            return labels.select("node", F.col("label").alias("component"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import blocks, _BYTE_KEYS, _LOWER, mix, quoted, remainder, rolling, stored, substring_hash, text_bytes, tidied, word_bounds
+from rillframe.llm.common import blocks, _BYTE_KEYS, _LOWER, mix, quoted, release, remainder, rolling, stored, substring_hash, text_bytes, tidied, word_bounds
 from rillframe.llm.pieces import LONGEST, WIDTHS, Vocabulary, vocabulary, _DOWN, _UP
 
 _U = np.uint64
@@ -419,6 +419,7 @@ def _count_words(docs: DataFrame, model: str) -> tuple[DataFrame, np.ndarray]:
     raw = stored(docs.select(text_bytes().alias("text")).mapInArrow(tidied(run), "word bigint, c bigint, pieces binary"), "words")
     counts = stored(raw.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     pieces = _summed(raw.where("pieces is not null").select("pieces"))
+    release(raw)
     return counts, pieces if len(pieces) else np.zeros(len(vocabulary(model).pieces))
 
 
@@ -456,7 +457,8 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
 
     made = stored(docs.select(text_bytes().alias("text")).mapInArrow(tidied(cut), "x binary, y binary, w binary"), "windows")
     rows = made.agg(F.coalesce(F.sum(F.length("x")), F.lit(0))).first()[0] // (2 * WINDOW)
-    made = stored(made.repartition(max(1, -(-rows // TASK))), "windows")
+    cut_up, made = made, stored(made.repartition(max(1, -(-rows // TASK))), "windows")
+    release(cut_up)
     for turn in range(rounds):
         p = net.p
 
@@ -478,6 +480,7 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
             new[k] = (sums[at : at + p[k].size] / sums[0]).reshape(p[k].shape).astype(np.float32)
             at += p[k].size
         net = Network(new)
+    release(made)
     return net
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, blocks, mix, partitions, quoted, remainder, stored, text_bytes, tidied, word_hashes
+from rillframe.llm.common import annotate, blocks, mix, partitions, quoted, release, remainder, stored, text_bytes, tidied, word_hashes
 from rillframe.llm.graph import components
 
 _U = np.uint64
@@ -169,9 +169,11 @@ def _first_pairs(cells: DataFrame, per_cent: int) -> DataFrame:
 
 def _apart(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """Cells, with components, of columns whose rows aren't all linked yet, and how many rows meet there."""
-    known = stored(cells.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "cells")
+    known = stored(cells.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "known")
     mixed = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("met")).where("low <> high").select("gram", "met")
-    return stored(known.join(mixed, "gram"), "apart")
+    apart = stored(known.join(mixed, "gram"), "apart")
+    release(known)
+    return apart
 
 
 def _other_pairs(apart: DataFrame, per_cent: int) -> DataFrame:
@@ -241,7 +243,9 @@ def _block_links(apart: DataFrame, docs: DataFrame, rows: DataFrame, width: int,
             yield from product(held)
 
     ordered = spread.select(names).repartition(partitions(apart.sparkSession), "gram", "x", "y").sortWithinPartitions("gram", "x", "y")
-    return stored(ordered.mapInArrow(tidied(run), "a bigint, b bigint").distinct(), "links")
+    links = stored(ordered.mapInArrow(tidied(run), "a bigint, b bigint").distinct(), "links")
+    release(sets)
+    return links
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,12 +329,16 @@ def _sets(nodes: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> Dat
 
     sets = annotate(texts, compute, "node bigint, grams binary", keep=["key"]).join(one, ["node", "key"], "left_semi")
     sets = sets.groupBy("node").agg(F.first("grams").alias("grams"))  # a key may stand in several rows
-    return stored(sets, "sets")
+    sets = stored(sets, "sets")
+    release(one)
+    return sets
 
 
 def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: overlaps added up over the least columns and then, where the bound allows, over whole rows."""
-    pairs = stored(_possible(stored(pairs, "pairs"), rows, per_cent), "possible")
+    met = stored(pairs, "pairs")
+    pairs = stored(_possible(met, rows, per_cent), "possible")
+    release(met)
     sets = _sets(_ends(pairs), docs, rows, width)
     joined = _both(pairs, sets, "grams").select("a", "b", "x", "y")
 
@@ -344,7 +352,9 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_c
             union = left[2] + right[2] - overlap
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(100 * overlap >= per_cent * union))
 
-    return stored(joined.mapInArrow(tidied(run), "a bigint, b bigint"), "links")
+    links = stored(joined.mapInArrow(tidied(run), "a bigint, b bigint"), "links")
+    release(pairs, sets)
+    return links
 
 
 def _cells(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -371,10 +381,12 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     links = _links(_first_pairs(cells, per_cent), docs, rows, width, per_cent)
     groups = components(links)
     apart = _apart(cells, groups)
+    release(cells)
     more = _links(_other_pairs(apart, per_cent), docs, rows, width, per_cent)
     if not apart.where(F.col("met") > GROUP).isEmpty():
         more = more.unionByName(_block_links(apart, docs, rows, width, per_cent))
     groups = components(links.unionByName(more)) if not more.isEmpty() else groups
+    release(apart, links)
     own = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
     named = own.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, blocks, mix, partitions, quoted, rolling, stored, substring_hash, text_bytes, tidied
+from rillframe.llm.common import annotate, blocks, mix, partitions, quoted, release, rolling, stored, substring_hash, text_bytes, tidied
 
 #: Shortest repeated string that goes, and bytes of a gram.
 LENGTH, GRAM = 200, 60
@@ -349,6 +349,7 @@ def repeated(docs: DataFrame, key: str, text: str, large: int = LARGE) -> tuple[
     grams = _anchor_rows(raw, False).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high"))
     shared = stored(grams.where("n > 1").select("gram", (F.col("low") == F.col("high")).alias("alike")), "grams")
     met = stored(_anchor_rows(raw, True).join(shared, "gram"), "anchors")
+    release(shared)
     unlike = met.where("not alike")
     kinds = stored(unlike.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("unit", "place")).alias("one")), "kinds")
     sizes = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
@@ -363,7 +364,9 @@ def repeated(docs: DataFrame, key: str, text: str, large: int = LARGE) -> tuple[
     many = _counted_extents(_cut_out(texts, ones.where(F.col("m") >= large), True))
     spans = covered.unionByName(small).unionByName(many)
     packed = spans.distinct().groupBy("unit").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return texts, stored(packed, "spans")
+    packed = stored(packed, "spans")
+    release(met, kinds, ones)
+    return texts, packed
 
 
 def _runs(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
