@@ -21,15 +21,15 @@ from rillframe.llm.pieces import LONGEST, WIDTHS, Vocabulary, vocabulary, _DOWN,
 
 _U = np.uint64
 #: Groups, and classes of a group. Class 0 is the border of a text; the classes of the last group hold all rarer pieces.
-GROUPS = 40
+GROUPS = 32
 CLASSES = GROUPS * GROUPS
 #: Inputs of a window, and how many of them only give context in all but a text's first window.
-WINDOW, CONTEXT = 32, 8
+WINDOW, CONTEXT = 24, 6
 #: The counts of so many of the most frequent words go to all workers; a rarer word's count is joined by a shuffle.
-HEAD = 1 << 18
+HEAD = 1 << 19
 #: The share of training texts, chosen by hash, on which the network trains, and the pieces that they should hold at least, if there are
 #: so many; piece and word counts come from all.
-TRAINED, LEAST = 1 / 32, 1 << 21
+TRAINED, LEAST = 1 / 64, 1 << 21
 #: Windows that a task trains on, about, and the least number of steps of a task in a round (few windows are gone over again).
 TASK, STEPS = 1 << 16, 1200
 #: What each piece of a path costs besides its own weight.
@@ -114,15 +114,6 @@ def _long_word(v: Vocabulary, raw: bytes, weight: np.ndarray) -> list[int]:
     return ids[::-1]
 
 
-def unique_words(data: np.ndarray, offsets: np.ndarray):
-    """(lowered bytes, places of the different words' first occurrences, their hashes, the number of each occurrence's word, words of each text)."""
-    low = _LOWER[data]
-    starts, ends, counts = word_bounds(data, offsets)
-    hashes = substring_hash(rolling(low), starts, ends).view(np.int64)
-    unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    return low, starts[first], ends[first], unique, which, counts
-
-
 @dataclass
 class Classes:
     """The class of each piece and the log share of each piece in its class; prior: the classes' log shares."""
@@ -155,14 +146,14 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return (top + np.log(np.exp(x - top[:, None]).sum(1))).astype(np.float32)
 
 
-def _log_total(z: np.ndarray) -> np.ndarray:
-    """The logarithm of each row's sum of exponentials; z is lost."""
-    if float(z.max(initial=0)) > 80:
+def _log_total(z: np.ndarray, safe: bool) -> np.ndarray:
+    """The logarithm of each row's sum of exponentials; z is lost. safe: no exponential is too large or all too small for a float."""
+    if not safe:
         top = z.max(1)
         z -= top[:, None]
         return top + np.log(np.exp(z).sum(1))
     np.exp(z, out=z)
-    return np.log(z @ np.ones(z.shape[1], np.float32))
+    return np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 class Network:
@@ -171,9 +162,12 @@ class Network:
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = p
         self.past = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        # how far logits can be from 0 for states of length 1, and for none
+        self.steep = max(float(np.sqrt((p[k] ** 2).sum(-2).max())) for k in ("group", "class"))
+        self.level = max(float(np.abs(p[k]).max()) for k in ("group_bias", "class_bias"))
 
     @staticmethod
-    def fresh(prior: np.ndarray, width: int = 16, units: int = 32, seed: int = 9) -> Network:
+    def fresh(prior: np.ndarray, width: int = 16, units: int = 24, seed: int = 9) -> Network:
         rng = np.random.default_rng(seed)
         normal = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
         d = width
@@ -183,24 +177,31 @@ class Network:
             "group": normal(d, GROUPS, scale=0.05), "group_bias": _log_sum(prior.reshape(GROUPS, GROUPS)), "class": normal(GROUPS, d, GROUPS, scale=0.05), "class_bias": prior.reshape(GROUPS, GROUPS).copy(),
         })
 
-    def hidden(self, x: np.ndarray):
+    def hidden(self, x: np.ndarray, skip: int = 0):
+        """States of all places of the windows but the first `skip`, which are only looked at."""
         p, (b, t) = self.p, x.shape
         d = p["e"].shape[1]
         h0 = np.take(p["e"], x, axis=0)
         h0 += p["pos"][:t]
         flat = h0.reshape(-1, d)
-        q, k, v = ((flat @ p["qkv"][:, i * d : (i + 1) * d]).reshape(b, t, d) for i in range(3))
+        own = np.ascontiguousarray(h0[:, skip:]).reshape(-1, d) if skip else flat
+        q = (own @ p["qkv"][:, :d]).reshape(b, t - skip, d)
+        k, v = ((flat @ p["qkv"][:, i * d : (i + 1) * d]).reshape(b, t, d) for i in (1, 2))
         q *= np.float32(d**-0.5)
         a = np.matmul(q, k.transpose(0, 2, 1))
-        if max(float(a.max(initial=0)), -float(a.min(initial=0))) > 60:
-            np.clip(a, -60, 60, out=a)
-        np.exp(a, out=a)
-        a *= self.past[:t, :t]
-        total = a.sum(2, keepdims=True)
+        ones = np.ones(t, a.dtype)
+        with np.errstate(over="ignore"):
+            np.exp(a, out=a)
+        a *= self.past[skip:t, :t]
+        total = a.reshape(-1, t) @ ones
+        if not (np.isfinite(total).all() and total.min(initial=1) > 0):
+            a = np.exp(np.clip(np.matmul(q, k.transpose(0, 2, 1)), -60, 60)) * self.past[skip:t, :t]
+            total = a.reshape(-1, t) @ ones
+        total = total.reshape(b, t - skip, 1)
         m = np.matmul(a, v)
         m /= total
         h1 = m.reshape(-1, d) @ p["o"]
-        h1 += flat
+        h1 += own
         u = h1 @ p["w1"]
         u += p["b1"]
         np.maximum(u, 0, out=u)
@@ -215,10 +216,11 @@ class Network:
         order = np.argsort(group.astype(np.int8), kind="stable")
         h, group, own = h[order], group[order], own[order]
         at = np.arange(len(h))
+        safe = np.sqrt(float(np.einsum("ij,ij->i", h, h).max(initial=0))) * self.steep + self.level < 80
         z = h @ p["group"]
         z += p["group_bias"]
         found = z[at, group]
-        found -= _log_total(z)
+        found -= _log_total(z, safe)
         ends = np.searchsorted(group, np.arange(GROUPS + 1))
         for g in range(GROUPS):
             a, b = ends[g], ends[g + 1]
@@ -226,7 +228,7 @@ class Network:
                 z = h[a:b] @ p["class"][g]
                 z += p["class_bias"][g]
                 found[a:b] += z[at[: b - a], own[a:b]]
-                found[a:b] -= _log_total(z)
+                found[a:b] -= _log_total(z, safe)
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -337,30 +339,38 @@ def windows(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class PieceCache:
-    """Pieces of the words met so far, at most `most` words; a task meets frequent words over and over."""
-
-    def __init__(self, v: Vocabulary, most: int = 1_000_000):
-        self.v, self.most = v, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.words, self.begin, self.size, self.flat, self.parts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), []
-
-    def pieces(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, where each of the sorted different words begins in them, their numbers of pieces)."""
-        if len(self.words) + len(unique) > self.most:
-            self.clear()
-        at = np.searchsorted(self.words, unique)
-        new = np.ones(len(unique), bool)
-        inside = at < len(self.words)
-        new[inside] = self.words[at[inside]] != unique[inside]
-        if new.any():
-            ids, sizes = best_pieces(self.v, low, starts[new], ends[new])
-            begin = np.cumsum(sizes) - sizes + len(self.flat)
-            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-            self.words, self.begin, self.size = (np.insert(old, at[new], added) for old, added in ((self.words, unique[new]), (self.begin, begin), (self.size, sizes)))
-            at = np.searchsorted(self.words, unique)
-        return self.flat, self.begin[at], self.size[at]
+    """Pieces of words met before, in a table with a place for each hash: frequent words are looked up, not cut anew, and memory is bounded."""
+
+    BITS, FLAT = 20, 1 << 22
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.word = np.zeros(1 << self.BITS, np.int64)
+        self.begin, self.size = np.zeros(1 << self.BITS, np.int32), np.zeros(1 << self.BITS, np.int32)
+        self.flat, self.used = np.zeros(self.FLAT, np.int32), 0
+
+    def pieces(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, where the pieces of each word begin in them, their numbers); words may repeat."""
+        slot = (words.view(np.uint64) >> _U(64 - self.BITS)).astype(np.int64)
+        miss = np.flatnonzero((self.word[slot] != words) | (self.size[slot] == 0))
+        begin, size = self.begin[slot], self.size[slot]
+        if not len(miss):
+            return self.flat, begin, size
+        _, first, which = np.unique(words[miss], return_index=True, return_inverse=True)
+        first = miss[first]
+        ids, sizes = best_pieces(self.v, low, starts[first], ends[first])
+        if self.used + len(ids) > len(self.flat):  # all are forgotten, so what begins in the old array is cut again
+            self.word[:], self.size[:], self.used = 0, 0, 0
+            if len(miss) < len(words):
+                return self.pieces(low, starts, ends, words)
+            if len(ids) > len(self.flat):
+                self.flat = np.zeros(len(ids), np.int32)
+        at = (self.used + np.cumsum(sizes) - sizes).astype(np.int32)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        begin[miss], size[miss] = at[which], sizes[which]
+        self.word[slot[first]], self.begin[slot[first]], self.size[slot[first]] = words[first], at, sizes
+        return self.flat, begin, size
 
 
 @lru_cache(maxsize=1)
@@ -369,58 +379,80 @@ def piece_cache(model: str) -> PieceCache:
     return PieceCache(vocabulary(model))
 
 
+def _spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[begin : begin + size] of each, one after another."""
+    size = size.astype(np.int64)
+    stop = np.cumsum(size)
+    return flat[np.repeat(begin - (stop - size), size) + np.arange(int(size.sum()))]
+
+
 def _pieces_of_block(cache: PieceCache, data, offsets):
-    """Per text in order: piece ids of all words, and how many; the block's different words, their occurrences, and words of each text."""
-    low, starts, ends, unique, which, counts = unique_words(data, offsets)
-    flat, begin, sizes = cache.pieces(low, starts, ends, unique)
-    many = sizes[which]
-    stop = np.cumsum(many)
-    at = np.repeat(begin[which] - (stop - many), many) + np.arange(int(many.sum()))
+    """Per text in order: piece ids of all words, and how many; the words' hashes, and words of each text."""
+    low = _LOWER[data]
+    starts, ends, counts = word_bounds(data, offsets)
+    words = substring_hash(rolling(low), starts, ends).view(np.int64)
+    flat, begin, size = cache.pieces(low, starts, ends, words)
     doc = np.repeat(np.arange(len(counts)), counts)
-    return flat[at], np.bincount(doc, many, len(counts)).astype(np.int64), unique, which, counts
+    return _spread(flat, begin, size), np.bincount(doc, size, len(counts)).astype(np.int64), words, counts
 
 
 def _count_words(docs: DataFrame, model: str) -> tuple[DataFrame, np.ndarray]:
-    """(word, c) over all training texts, the end among them, and how many pieces of each kind they hold."""
-    def run(batches):
-        cache = piece_cache(model)
-        pieces = np.zeros(len(cache.v.pieces))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    """(word, c) over all training texts, the end among them, and how many pieces of each kind their words have.
+
+    A task counts its words before it passes them on, with their bytes, so that each different word is cut into pieces once.
+    """
+    schema = "word bigint, raw binary, c bigint"
 
-        def merged():
-            words, which = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            return words, np.bincount(which, np.concatenate([c for _, c in held])).astype(np.int64)
+    def merged(held):
+        words, first, which = np.unique(np.concatenate([w for w, _, _ in held]), return_index=True, return_inverse=True)
+        raw = pa.concat_arrays([r for _, r, _ in held]).take(pa.array(first))
+        return words, raw, np.bincount(which, np.concatenate([c for _, _, c in held])).astype(np.int64)
 
-        def rows(words, counts, extra=None):
-            for a in range(0, len(words), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 100_000]), pa.array(counts[a : a + 100_000]), pa.nulls(len(words[a : a + 100_000]), pa.binary())], names=["word", "c", "pieces"])
+    def rows(words, raw, counts):
+        for a in range(0, len(words), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 100_000]), raw[a : a + 100_000], pa.array(counts[a : a + 100_000])], names=["word", "raw", "c"])
 
-        size = 0
+    def run(batches):
+        held, size, texts = [], 0, 0
         for batch in batches:
             for _, data, offsets in blocks(batch):
-                low, starts, ends, unique, which, counts = unique_words(data, offsets)
-                often = np.bincount(which, minlength=len(unique)).astype(np.int64)
-                flat, begin, sizes = cache.pieces(low, starts, ends, unique)
-                stop = np.cumsum(sizes)
-                ids = flat[np.repeat(begin - (stop - sizes), sizes) + np.arange(int(sizes.sum()))]
-                pieces += np.bincount(ids, np.repeat(often, sizes), len(pieces))
-                held.append((np.append(unique, END), np.append(often, len(counts))))
-                size += len(unique)
+                texts += len(offsets) - 1
+                low = _LOWER[data]
+                starts, ends, _ = word_bounds(data, offsets)
+                words, first, often = np.unique(substring_hash(rolling(low), starts, ends).view(np.int64), return_index=True, return_counts=True)
+                length = ends[first] - starts[first]
+                stop = np.cumsum(length)
+                at = np.repeat(starts[first] - (stop - length), length) + np.arange(int(length.sum()))
+                raw = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int32)), pa.py_buffer(low[at])])
+                held.append((words, raw, often.astype(np.int64)))
+                size += len(words)
                 if size > 2 * HELD:
-                    held = [merged()]
+                    held = [merged(held)]
                     size = len(held[0][0])
                     if size > HELD:
                         yield from rows(*held[0])
                         held, size = [], 0
         if held:
-            yield from rows(*merged())
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([pieces.tobytes()], pa.binary())], names=["word", "c", "pieces"])
+            yield from rows(*merged(held))
+        if texts:
+            yield from rows(np.array([END]), pa.array([b""], pa.binary()), np.array([texts]))
+
+    def cut(batches):
+        v = vocabulary(model)
+        total = np.zeros(len(v.pieces))
+        for batch in batches:
+            c = batch.column("c").to_numpy()
+            for part, data, offsets in blocks(batch, "raw"):
+                own = np.flatnonzero(np.diff(offsets))
+                if len(own):
+                    ids, sizes = best_pieces(v, data, offsets[own], offsets[own + 1])
+                    total += np.bincount(ids, np.repeat(c[part][own], sizes), len(total))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    raw = stored(docs.select(text_bytes().alias("text")).mapInArrow(tidied(run), "word bigint, c bigint, pieces binary"), "words")
-    counts = stored(raw.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    pieces = _summed(raw.where("pieces is not null").select("pieces"))
-    release(raw)
-    return counts, pieces if len(pieces) else np.zeros(len(vocabulary(model).pieces))
+    raw = docs.select(text_bytes().alias("text")).mapInArrow(tidied(run), schema)
+    counts = stored(raw.groupBy("word", "raw").agg(F.sum("c").alias("c")), "counts")
+    pieces = _summed(counts.select("raw", "c").mapInArrow(tidied(cut), "sums binary"))
+    return counts.select("word", "c"), pieces if len(pieces) else np.zeros(len(vocabulary(model).pieces))
 
 
 def _summed(vectors: DataFrame) -> np.ndarray:
@@ -484,6 +516,34 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
     return net
 
 
+class Head:
+    """Values of frequent words by hash: a table with a place for each hash, and a sorted rest whose places were taken."""
+
+    BITS = 21
+
+    def __init__(self, words: np.ndarray, values: np.ndarray):
+        slot = self._slot(words)
+        _, first = np.unique(slot, return_index=True)
+        self.word, self.value = np.zeros(1 << self.BITS, np.int64), np.full(1 << self.BITS, -np.inf)
+        self.word[slot[first]], self.value[slot[first]] = words[first], values[first]
+        rest = np.setdiff1d(np.arange(len(words)), first)
+        rest = rest[np.argsort(words[rest])]
+        self.more, self.more_values = words[rest], values[rest]
+
+    def _slot(self, words):
+        return (words.view(np.uint64) >> _U(64 - self.BITS)).astype(np.int64)
+
+    def values(self, words: np.ndarray) -> np.ndarray:
+        """The value of each word; minus infinity where there is none."""
+        slot = self._slot(words)
+        out = np.where(self.word[slot] == words, self.value[slot], -np.inf)
+        if len(self.more):
+            miss = np.flatnonzero((out == -np.inf) & (self.value[slot] > -np.inf))
+            at = np.minimum(np.searchsorted(self.more, words[miss]), len(self.more) - 1)
+            out[miss] = np.where(self.more[at] == words[miss], self.more_values[at], -np.inf)
+        return out
+
+
 def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", folds: int = 5, hold: int = 1, rounds: int = 2, rate: float = 0.03, batch: int = 64, seed: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; learnt from rows whose crc32(key) modulo `folds` isn't `hold`.
 
@@ -502,29 +562,27 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
     net = _train(learnt.where(chosen), model, classes, rounds, rate, batch, seed)
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # HEAD rows of 16 bytes at most
     words, often = head.column("word").to_numpy(), head.column("c").to_numpy()
-    order = np.argsort(words)
     below = np.log10(n + 0.5 * (v_words + 1)) if n else np.log10(0.5)
-    shared = docs.sparkSession.sparkContext.broadcast((words[order], often[order], net.p, classes))
+    shared = docs.sparkSession.sparkContext.broadcast((words, often, net.p, classes))
     schema = f"key {slim.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"
 
     def run(batches):
         words, often, p, classes = shared.value
-        cache, net = piece_cache(model), Network(p)
+        cache, net, head = piece_cache(model), Network(p), Head(words, np.log10(often + 0.5))
         end_known = int(ends > 0)
         end_base = np.log10(ends + 0.5) - below
         for batch in batches:
             for rows, data, offsets in blocks(batch):
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                ids, sizes, unique, which, number = _pieces_of_block(cache, data, offsets)
+                ids, sizes, own, number = _pieces_of_block(cache, data, offsets)
                 m = len(number)
                 doc = np.repeat(np.arange(m), number)
-                at = np.minimum(np.searchsorted(words, unique), max(len(words) - 1, 0))
-                found = words[at] == unique if len(words) else np.zeros(len(unique), bool)
-                value = np.where(found, np.log10(np.where(found, often[at] if len(words) else 0, 1) + 0.5), 0.0)
-                known = np.bincount(doc, found[which], m).astype(np.int64) + end_known
-                base = np.bincount(doc, value[which], m) - number * below + end_base
-                rare = ~found[which]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=m))]), pa.int32()), pa.array(unique[which[rare]]))
+                value = head.values(own)
+                found = value > -np.inf
+                known = np.bincount(doc, found, m).astype(np.int64) + end_known
+                base = np.bincount(doc, np.where(found, value, 0.0), m) - number * below + end_base
+                rare = ~found
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=m))]), pa.int32()), pa.array(own[rare]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("held_out"), pa.array(number + 1), pa.array(known), pa.array(base), pa.array(_scores(net, classes, ids, sizes)), lists],
                     names=["key", "held_out", "n_tokens", "known", "base", "score", "rare"],
@@ -543,15 +601,17 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
 
 def _scores(net: Network, classes: Classes, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 probabilities of texts given as piece ids and their numbers."""
-    own = classes.of[ids].astype(np.int64)
-    x, y, fresh = windows(own, sizes)
-    chance = []
-    for a in range(0, len(x), 512):
-        # few windows at once, so that their arrays stay in the cache
-        h = np.concatenate([net.hidden(x[b : min(b + 64, a + 512)])[0] for b in range(a, min(a + 512, len(x)), 64)])
-        pick = fresh[a : a + 512].ravel()
-        chance.append(net.log_chance(h[pick], y[a : a + 512].ravel()[pick]))
-    total = np.concatenate(chance).astype(float) if chance else np.zeros(0)
+    x, y, fresh = windows(classes.of[ids].astype(np.int64), sizes)
+    place = (np.cumsum(fresh.ravel()) - 1).reshape(fresh.shape)
+    total = np.empty(len(ids) + len(sizes))
+    heads = fresh[:, 0]
+    for rows, skip in ((np.flatnonzero(heads), 0), (np.flatnonzero(~heads), CONTEXT)):
+        for a in range(0, len(rows), 512):
+            part = rows[a : a + 512]
+            # few windows at once, so that their arrays stay in the cache
+            h = np.concatenate([net.hidden(x[part[b : b + 64]], skip)[0] for b in range(0, len(part), 64)])
+            pick = fresh[part, skip:]
+            total[place[part, skip:][pick]] = net.log_chance(h[pick.ravel()], y[part, skip:][pick])
     m = len(sizes)
     out = np.bincount(np.repeat(np.arange(m), sizes + 1), total, m)
     out += np.bincount(np.repeat(np.arange(m), sizes), classes.share[ids], m)
