@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.llm.common import blocks, _BYTE_KEYS, _LOWER, mix, quoted, release, remainder, rolling, stored, substring_hash, text_bytes, tidied, word_bounds
-from rillframe.llm.pieces import LONGEST, WIDTHS, Vocabulary, vocabulary, _DOWN, _UP
+from rillframe.llm.pieces import LONGEST, WIDTHS, Vocabulary, run_keys, vocabulary, _UP
 
 _U = np.uint64
 #: Groups, and classes of a group. Class 0 is the border of a text; the classes of the last group hold all rarer pieces.
 GROUPS = 32
 CLASSES = GROUPS * GROUPS
-#: Inputs of a window, and how many of them only give context in all but a text's first window.
+#: Inputs of a window, and how many of them only give context (borders, where the text begins).
 WINDOW, CONTEXT = 24, 6
 #: The counts of so many of the most frequent words go to all workers; a rarer word's count is joined by a shuffle.
 HEAD = 1 << 19
@@ -32,6 +32,8 @@ HEAD = 1 << 19
 TRAINED, LEAST = 1 / 64, 1 << 21
 #: Windows that a task trains on, about, and the least number of steps of a task in a round (few windows are gone over again).
 TASK, STEPS = 1 << 16, 1200
+#: Windows at once in the output and before it: few, so that their arrays stay in a core's cache.
+CHUNK, FEW = 512, 128
 #: What each piece of a path costs besides its own weight.
 PIECE_COST = -3.0
 #: The end of a text among word hashes.
@@ -60,7 +62,7 @@ def best_pieces(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.nd
             step, piece = np.zeros((width + 1, len(part)), np.int8), np.zeros((width + 1, len(part)), np.int32)
             for j in range(1, width + 1):
                 i = j - 1 - np.arange(min(j, LONGEST))
-                keys = mix((sums[j] - sums[i]) * _DOWN[i, None] + (j - i)[:, None].astype(np.uint64))
+                keys = run_keys(sums, j, i)
                 ids = v.ids(keys.ravel()).reshape(keys.shape)
                 one = ids[0] < 0
                 ids[0, one] = v.fallback[rows[j - 1, one]]
@@ -177,14 +179,14 @@ class Network:
             "group": normal(d, GROUPS, scale=0.05), "group_bias": _log_sum(prior.reshape(GROUPS, GROUPS)), "class": normal(GROUPS, d, GROUPS, scale=0.05), "class_bias": prior.reshape(GROUPS, GROUPS).copy(),
         })
 
-    def hidden(self, x: np.ndarray, skip: int = 0):
-        """States of all places of the windows but the first `skip`, which are only looked at."""
-        p, (b, t) = self.p, x.shape
+    def hidden(self, x: np.ndarray):
+        """States of the scored places of the windows, those after the context."""
+        p, (b, t), skip = self.p, x.shape, CONTEXT
         d = p["e"].shape[1]
         h0 = np.take(p["e"], x, axis=0)
         h0 += p["pos"][:t]
         flat = h0.reshape(-1, d)
-        own = np.ascontiguousarray(h0[:, skip:]).reshape(-1, d) if skip else flat
+        own = np.ascontiguousarray(h0[:, skip:]).reshape(-1, d)
         q = (own @ p["qkv"][:, :d]).reshape(b, t - skip, d)
         k, v = ((flat @ p["qkv"][:, i * d : (i + 1) * d]).reshape(b, t, d) for i in (1, 2))
         q *= np.float32(d**-0.5)
@@ -207,7 +209,7 @@ class Network:
         np.maximum(u, 0, out=u)
         h2 = u @ p["w2"]
         h2 += h1
-        return h2, (h0, q, k, v, a, total, m, h1, u)
+        return h2, (flat, own, q, k, v, a, total, m, h1, u)
 
     def log_chance(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target class."""
@@ -234,15 +236,15 @@ class Network:
         return out
 
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss and gradients over places of weight 1; x, target, weight: windows by places."""
+        """Mean loss and gradients over places of weight 1; x: windows by places, target, weight: windows by scored places."""
         p, (b, t) = self.p, x.shape
         d = p["e"].shape[1]
-        h, (h0, q, k, v, a, sums, m, h1, u) = self.hidden(x)
+        h, (flat, own, q, k, v, a, sums, m, h1, u) = self.hidden(x)
         a /= sums
         scored = np.flatnonzero(weight.ravel())
-        group, own = np.divmod(target.ravel()[scored], GROUPS)
+        group, place = np.divmod(target.ravel()[scored], GROUPS)
         order = np.argsort(group, kind="stable")
-        scored, group, own = scored[order], group[order], own[order]
+        scored, group, place = scored[order], group[order], place[order]
         n, hs = max(len(scored), 1), h[scored]
         at = np.arange(len(scored))
 
@@ -262,7 +264,7 @@ class Network:
         for c in range(GROUPS):
             i, j = ends[c], ends[c + 1]
             if i < j:
-                z, lost = softmax(hs[i:j] @ p["class"][c] + p["class_bias"][c], own[i:j])
+                z, lost = softmax(hs[i:j] @ p["class"][c] + p["class_bias"][c], place[i:j])
                 loss += lost
                 g["class"][c], g["class_bias"][c] = hs[i:j].T @ z, z.sum(0)
                 ds[i:j] += z @ p["class"][c].T
@@ -274,21 +276,21 @@ class Network:
         g["w2"], g["w1"], g["b1"] = u.T @ dh, h1.T @ du, du.sum(0)
         dh1 = dh + du @ p["w1"].T
         g["o"] = m.reshape(-1, d).T @ dh1
-        dm = (dh1 @ p["o"].T).reshape(b, t, d)
-        dv = np.matmul(a.transpose(0, 2, 1), dm)
+        dm = (dh1 @ p["o"].T).reshape(b, t - CONTEXT, d)
+        dv = np.matmul(a.transpose(0, 2, 1), dm).reshape(-1, d)
         da = np.matmul(dm, v.transpose(0, 2, 1))
         da = a * (da - (da * a).sum(2, keepdims=True))
-        dq, dk = np.matmul(da, k) * np.float32(d**-0.5), np.matmul(da.transpose(0, 2, 1), q)
-        dqkv = np.concatenate([dq, dk, dv], 2).reshape(-1, 3 * d)
-        g["qkv"] = h0.reshape(-1, d).T @ dqkv
-        dh0 = (dh1 + dqkv @ p["qkv"].T).reshape(b, t, d)
+        dq, dk = (np.matmul(da, k) * np.float32(d**-0.5)).reshape(-1, d), np.matmul(da.transpose(0, 2, 1), q).reshape(-1, d)
+        g["qkv"] = np.concatenate([own.T @ dq, flat.T @ dk, flat.T @ dv], 1)
+        dh0 = (dk @ p["qkv"][:, d : 2 * d].T + dv @ p["qkv"][:, 2 * d :].T).reshape(b, t, d)
+        dh0[:, CONTEXT:] += (dh1 + dq @ p["qkv"][:, :d].T).reshape(b, t - CONTEXT, d)
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][:t] = dh0.sum(0)
         g["e"] = np.zeros_like(p["e"])
-        flat, rows = x.ravel(), dh0.reshape(-1, d)
-        by = np.argsort(flat, kind="stable")
-        heads = np.flatnonzero(np.diff(flat[by], prepend=-1))
-        g["e"][flat[by][heads]] = np.add.reduceat(rows[by], heads, axis=0)
+        seen, rows = x.ravel(), dh0.reshape(-1, d)
+        by = np.argsort(seen, kind="stable")
+        heads = np.flatnonzero(np.diff(seen[by], prepend=-1))
+        g["e"][seen[by][heads]] = np.add.reduceat(rows[by], heads, axis=0)
         return loss, g
 
     def train(self, x, target, weight, rate: float, batch: int, passes: int, seed: int, turn: int = 0, turns: int = 1) -> None:
@@ -314,8 +316,11 @@ class Network:
 
 
 def windows(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, scored) of the texts' windows: each next class and each end is scored once, with CONTEXT inputs before it at least
-    unless the text begins there. Row after row, scored places are in the order of the texts."""
+    """(inputs, targets, scored) of the texts' windows; the latter two for the places after the context.
+
+    Each next class and each end is scored once, in the order of the texts, with CONTEXT inputs before it at least: the last ones of the window
+    before, or borders where the text begins.
+    """
     n = len(counts)
     lengths = counts + 1
     starts = np.cumsum(lengths) - lengths
@@ -323,19 +328,18 @@ def windows(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     places = np.ones(len(inputs), bool)
     places[starts] = False
     inputs[places] = classes
-    targets = np.append(inputs[1:], 0)
+    targets = np.append(inputs[1:], 0).astype(np.int16)
     step = WINDOW - CONTEXT
-    many = 1 + np.maximum(-(-(lengths - WINDOW) // step), 0)
+    many = -(-lengths // step)
     of = np.repeat(np.arange(n), many)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    begin = k * step
-    at = begin[:, None] + np.arange(WINDOW)
-    inside = at < lengths[of][:, None]
-    flat = np.where(inside, starts[of][:, None] + at, 0)
-    x = np.where(inside, inputs[flat], 0)
-    y = np.where(inside, targets[flat], 0)
-    fresh = inside & ((k == 0)[:, None] | (np.arange(WINDOW) >= CONTEXT))
-    return x, y, fresh
+    begin = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * step
+    at = begin[:, None] + np.arange(-CONTEXT, step)
+    inside = (at >= 0) & (at < lengths[of][:, None])
+    at += starts[of][:, None]
+    np.clip(at, 0, len(inputs) - 1, out=at)
+    x = inputs[at]
+    x[~inside] = 0
+    return x, targets[at[:, CONTEXT:]], inside[:, CONTEXT:]
 
 
 class PieceCache:
@@ -496,7 +500,7 @@ def _train(docs: DataFrame, model: str, classes: Classes, rounds: int, rate: flo
 
         def learn(batches, p=p, turn=turn):
             own = Network({k: v.copy() for k, v in p.items()})
-            parts = [[np.frombuffer(b.column(c)[i].as_py(), np.uint16).reshape(-1, WINDOW) for c in ("x", "y", "w")] for b in batches for i in range(b.num_rows)]
+            parts = [[np.frombuffer(b.column(c)[i].as_py(), np.uint16).reshape(-1, k) for c, k in (("x", WINDOW), ("y", WINDOW - CONTEXT), ("w", WINDOW - CONTEXT))] for b in batches for i in range(b.num_rows)]
             n = sum(len(part[0]) for part in parts)
             if n:
                 x, y, w = (np.concatenate(z) for z in zip(*parts, strict=True))
@@ -544,7 +548,20 @@ class Head:
         return out
 
 
-def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", folds: int = 5, hold: int = 1, rounds: int = 2, rate: float = 0.03, batch: int = 64, seed: int = 2) -> DataFrame:
+def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all counts that at most HEAD words have or exceed, and their counts: by a histogram of counts and a filter."""
+    top = 1 << 16
+    bins = counts.groupBy(F.least("c", F.lit(top)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()  # `top` rows at most
+    least, total = top + 1, 0
+    for c, n in sorted(((r["c"], r["n"]) for r in bins), reverse=True):
+        if total + n > HEAD:
+            break
+        least, total = c, total + n
+    few = counts.where(F.col("c") >= least).toArrow()  # HEAD rows of 16 bytes at most
+    return few.column("word").to_numpy(), few.column("c").to_numpy()
+
+
+def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", folds: int = 5, hold: int = 1, rounds: int = 1, rate: float = 0.03, batch: int = 64, seed: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; learnt from rows whose crc32(key) modulo `folds` isn't `hold`.
 
     Tokens are the words ([^\\x20\\x09-\\x0D]+, A-Z lowered) and one end. base_score adds log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the
@@ -560,8 +577,7 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
     share = min(1.0, max(TRAINED, LEAST / max(pieces.sum(), 1)))
     chosen = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(1 << 20)) < round(share * (1 << 20))
     net = _train(learnt.where(chosen), model, classes, rounds, rate, batch, seed)
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # HEAD rows of 16 bytes at most
-    words, often = head.column("word").to_numpy(), head.column("c").to_numpy()
+    words, often = _head(counts)
     below = np.log10(n + 0.5 * (v_words + 1)) if n else np.log10(0.5)
     shared = docs.sparkSession.sparkContext.broadcast((words, often, net.p, classes))
     schema = f"key {slim.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"
@@ -602,16 +618,12 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
 def _scores(net: Network, classes: Classes, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 probabilities of texts given as piece ids and their numbers."""
     x, y, fresh = windows(classes.of[ids].astype(np.int64), sizes)
-    place = (np.cumsum(fresh.ravel()) - 1).reshape(fresh.shape)
-    total = np.empty(len(ids) + len(sizes))
-    heads = fresh[:, 0]
-    for rows, skip in ((np.flatnonzero(heads), 0), (np.flatnonzero(~heads), CONTEXT)):
-        for a in range(0, len(rows), 512):
-            part = rows[a : a + 512]
-            # few windows at once, so that their arrays stay in the cache
-            h = np.concatenate([net.hidden(x[part[b : b + 64]], skip)[0] for b in range(0, len(part), 64)])
-            pick = fresh[part, skip:]
-            total[place[part, skip:][pick]] = net.log_chance(h[pick.ravel()], y[part, skip:][pick])
+    total = [np.zeros(0)]
+    for a in range(0, len(x), CHUNK):
+        h = np.concatenate([net.hidden(x[b : min(b + FEW, a + CHUNK)])[0] for b in range(a, min(a + CHUNK, len(x)), FEW)])
+        pick = fresh[a : a + CHUNK].ravel()
+        total.append(net.log_chance(h[pick], y[a : a + CHUNK].ravel()[pick]))
+    total = np.concatenate(total)
     m = len(sizes)
     out = np.bincount(np.repeat(np.arange(m), sizes + 1), total, m)
     out += np.bincount(np.repeat(np.arange(m), sizes), classes.share[ids], m)

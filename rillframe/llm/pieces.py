@@ -34,7 +34,12 @@ _SPLIT[[0x20, *range(0x09, 0x0E)]] = True
 
 def _hash(raw: bytes) -> int:
     x = np.frombuffer(raw, np.uint8)
-    return int(mix(np.array([(_BYTE_KEYS[x] * _UP[: len(x)]).sum(dtype=np.uint64) + _U(len(x))], np.uint64))[0])
+    return int((_BYTE_KEYS[x] * _UP[: len(x)]).sum(dtype=np.uint64))
+
+
+def run_keys(sums: np.ndarray, j: int, i: np.ndarray) -> np.ndarray:
+    """The hashes of bytes i to j of many runs, from their prefix sums (places by runs)."""
+    return (sums[j] - sums[i]) * _DOWN[i, None]
 
 
 class Vocabulary:
@@ -72,23 +77,28 @@ class Vocabulary:
         self.bits, keys = 20, np.array([_hash(p) for p in self.find], np.uint64)
         ids = np.array(list(self.find.values()), np.int32)
         self.key1, self.id1 = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        _, first = np.unique(self._slot(keys, 1), return_index=True)
-        self.key1[self._slot(keys[first], 1)], self.id1[self._slot(keys[first], 1)] = keys[first], ids[first]
+        _, first = np.unique(self._slot(keys), return_index=True)
+        self.key1[self._slot(keys[first])], self.id1[self._slot(keys[first])] = keys[first], ids[first]
+        self.there = self.id1 >= 0
         rest = np.setdiff1d(np.arange(len(keys)), first)
         order = rest[np.argsort(keys[rest])]
         self.key2, self.id2 = keys[order], ids[order]  # those whose slot was taken
 
-    def _slot(self, keys, which):
-        return (keys >> _U(64 - self.bits)).astype(np.int64)
+    def _slot(self, keys):
+        return (keys * _U(0xD6E8FEB86659FD93) >> _U(64 - self.bits)).astype(np.int64)
 
     def ids(self, keys: np.ndarray) -> np.ndarray:
         """The id of each hash, -1 where no piece has it."""
-        slot = self._slot(keys, 1)
-        found = np.where(self.key1[slot] == keys, self.id1[slot], np.int32(-1))
+        slot = self._slot(keys)
+        found = np.full(len(keys), -1, np.int32)
+        hit = np.flatnonzero(self.there[slot])  # a byte for each place stays in the cache; few substrings are pieces
+        slot, keys = slot[hit], keys[hit]
+        ids = np.where(self.key1[slot] == keys, self.id1[slot], np.int32(-1))
         if len(self.key2):
-            miss = np.flatnonzero((found < 0) & (self.id1[slot] >= 0))
+            miss = np.flatnonzero(ids < 0)
             at = np.minimum(np.searchsorted(self.key2, keys[miss]), len(self.key2) - 1)
-            found[miss] = np.where(self.key2[at] == keys[miss], self.id2[at], np.int32(-1))
+            ids[miss] = np.where(self.key2[at] == keys[miss], self.id2[at], np.int32(-1))
+        found[hit] = ids
         return found
 
 
@@ -110,7 +120,7 @@ def _forward(v: Vocabulary, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for j in range(1, n + 1):
         most = min(j, k)
         i = j - 1 - np.arange(most)
-        keys = mix((sums[j] - sums[i]) * _DOWN[i, None] + (j - i)[:, None].astype(np.uint64))
+        keys = run_keys(sums, j, i)
         found = v.ids(keys.ravel()).reshape(most, m)
         one = found[0] < 0
         found[0, one] = v.fallback[rows[one, j - 1]]

@@ -140,7 +140,7 @@ def test_lm_rare_words_meet_counts(odd, monkeypatch):
     from rillframe.llm import lm
 
     full = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6)) for r in lm.score_texts(odd, PIECES, rounds=1).collect()}
-    monkeypatch.setattr(lm, "HEAD", 5)
+    monkeypatch.setattr(lm, "HEAD", 20)
     few = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6)) for r in lm.score_texts(odd, PIECES, rounds=1).collect()}
     assert full == few
 
@@ -151,16 +151,13 @@ def test_network_gradients():
     rng = np.random.default_rng(0)
     net = lm.Network.fresh(np.log(np.full(lm.CLASSES, 1 / lm.CLASSES, np.float32)), width=4, units=6)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, y = rng.integers(0, lm.CLASSES, (2, 7)), rng.integers(0, lm.CLASSES, (2, 7))
-    w = np.ones((2, 7))
-    w[0, :3] = 0
+    n = lm.CONTEXT + 4
+    x, y = rng.integers(0, lm.CLASSES, (2, n)), rng.integers(0, lm.CLASSES, (2, 4))
+    w = np.ones((2, 4))
+    w[0, :2] = 0
     _, g = net.gradients(x, y, w)
     for name in net.p:
-        at = tuple(rng.integers(0, s) for s in net.p[name].shape)
-        if name in ("e", "class", "class_bias"):
-            at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
-        if name == "pos":
-            at = (int(rng.integers(0, 7)), at[1])
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         old, eps = net.p[name][at], 1e-5
         losses = []
         for d in (eps, -eps):
@@ -173,7 +170,17 @@ def test_network_gradients():
     # no place sees a later one
     x2 = x.copy()
     x2[:, -1] = (x2[:, -1] + 1) % lm.CLASSES
-    assert np.allclose(net.hidden(x)[0].reshape(2, 7, -1)[:, :-1], net.hidden(x2)[0].reshape(2, 7, -1)[:, :-1])
+    assert np.allclose(net.hidden(x)[0].reshape(2, 4, -1)[:, :-1], net.hidden(x2)[0].reshape(2, 4, -1)[:, :-1])
+
+
+def test_chances_add_up():
+    from rillframe.llm import lm
+
+    net = lm.Network.fresh(np.log(np.full(lm.CLASSES, 1 / lm.CLASSES, np.float32)))
+    h = net.hidden(np.random.default_rng(0).integers(0, lm.CLASSES, (1, lm.CONTEXT + 1)))[0]
+    every = np.arange(lm.CLASSES)
+    for scale in (1, 1e4):
+        assert np.isclose(np.exp(net.log_chance(np.repeat(h * np.float32(scale), lm.CLASSES, 0), every)).sum(), 1, atol=1e-3)
 
 
 def test_windows_score_each_token_once():
@@ -188,7 +195,7 @@ def test_windows_score_each_token_once():
         want += [*ids[at : at + c], 0]
         at += c
     assert y[fresh].tolist() == want
-    assert all(x[i, 0] == 0 or not fresh[i, : lm.CONTEXT].any() for i in range(len(x)))
+    assert x.shape[1] == lm.WINDOW and y.shape == fresh.shape == (len(x), lm.WINDOW - lm.CONTEXT)
 
 
 # --- secrets
