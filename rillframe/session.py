@@ -51,3 +51,15 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
     context._rillframe_shipped = True
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a local one on a single machine."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="rillframe-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
