@@ -49,7 +49,7 @@ def _packed(rows: DataFrame, parts: int, label: str, prepare: Callable[[np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(body, protocol=5)], pa.binary())], names=["body"])
 
     packed = rows.repartition(parts).mapInArrow(run, "body binary")
-    return stored(packed.withColumn("part", F.monotonically_increasing_id()), label)
+    return stored(packed.withColumn("part", F.spark_partition_id()), label)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, prepare_shard, prepare_block, find, kind: str) -> DataFrame:
@@ -57,10 +57,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int, prepare_shard, prepare_b
     import pickle
 
     n, m = rows.count(), queries.count()
-    shards = _packed(rows, max(1, -(-n // SHARD)), "shards", prepare_shard).withColumnRenamed("body", "shard")
+    parts = max(1, -(-n // SHARD))
+    shards = _packed(rows, parts, "shards", prepare_shard).withColumnRenamed("body", "shard")
     blocks = _packed(queries, max(1, -(-m // BLOCK)), "blocks", prepare_block).select("body")
-    numbers = shards.agg(F.collect_list("part")).first()[0]  # one number for each shard of thousands of vectors
-    sent = blocks.withColumn("part", F.explode(F.array(*[F.lit(p) for p in numbers]) if numbers else F.array().cast("array<bigint>")))
+    sent = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     both = sent.join(shards, "part").select("body", "shard")
 
     def run(batches):
