@@ -30,7 +30,7 @@ def _lean_malloc() -> None:
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 512 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
     except OSError:  # another C library
         return
 

@@ -23,7 +23,7 @@ LONGEST = 16
 #: Runs up to each of these lengths go through numpy together; longer ones one at a time.
 WIDTHS = (4, 8, 12, 16, 24, 40, 64)
 #: Bytes of text at once, and bytes of different runs at once.
-TEXTS, RUNS = 2_000_000, 80_000
+TEXTS, RUNS = 1_000_000, 40_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _UP = np.array([pow(_BASE, i, 2**64) for i in range(LONGEST + WIDTHS[-1] + 1)], np.uint64)
