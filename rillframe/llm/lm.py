@@ -27,9 +27,6 @@ CLASSES = GROUPS * GROUPS
 WINDOW, CONTEXT = 24, 6
 #: The counts of so many of the most frequent words go to all workers; a rarer word's count is joined by a shuffle.
 HEAD = 1 << 19
-#: The share of training texts, chosen by hash, on which the network trains, and the pieces that they should hold at least, if there are
-#: so many; piece and word counts come from all.
-TRAINED, LEAST = 1 / 64, 1 << 21
 #: Windows that a task trains on, about, and the least number of steps of a task in a round (few windows are gone over again).
 TASK, STEPS = 1 << 16, 1200
 #: Windows at once in the output and before it: few, so that their arrays stay in a core's cache.
@@ -574,9 +571,7 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
     counts, pieces = _count_words(learnt, model)
     n, v_words, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c"), F.coalesce(F.sum(F.when(F.col("word") == int(END), F.col("c"))), F.lit(0))).first()
     classes = Classes.fit(pieces, float(ends), np.array([bool(p) and p[:1] == b" " for p in vocabulary(model).pieces]))
-    share = min(1.0, max(TRAINED, LEAST / max(pieces.sum(), 1)))
-    chosen = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit(""))), F.lit(1 << 20)) < round(share * (1 << 20))
-    net = _train(learnt.where(chosen), model, classes, rounds, rate, batch, seed)
+    net = _train(learnt, model, classes, rounds, rate, batch, seed)
     words, often = _head(counts)
     below = np.log10(n + 0.5 * (v_words + 1)) if n else np.log10(0.5)
     shared = docs.sparkSession.sparkContext.broadcast((words, often, net.p, classes))

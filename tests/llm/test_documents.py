@@ -145,6 +145,17 @@ def test_lm_rare_words_meet_counts(odd, monkeypatch):
     assert full == few
 
 
+def test_lm_trains_on_all_texts(spark, monkeypatch):
+    """Whatever the size: here over 2^21 pieces, from which on a sample was taken before."""
+    from rillframe.llm import lm
+
+    seen = []
+    monkeypatch.setattr(lm, "_train", lambda docs, model, classes, *a: seen.append(docs.count()) or lm.Network.fresh(classes.prior))
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('a tree and ', 400) AS text")
+    held = lm.score_texts(docs, PIECES).where("held_out").count()
+    assert 0 < held < 3000 and seen == [3000 - held]
+
+
 def test_network_gradients():
     from rillframe.llm import lm
 
