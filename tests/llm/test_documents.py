@@ -209,6 +209,23 @@ def test_windows_score_each_token_once():
     assert x.shape[1] == lm.WINDOW and y.shape == fresh.shape == (len(x), lm.WINDOW - lm.CONTEXT)
 
 
+def test_model_is_whole():
+    """Nine pieces at least before each that isn't near its text's beginning, 1,600 classes, 32 units, two rounds."""
+    import inspect
+
+    from rillframe.llm import lm
+
+    ids = np.arange(1, 301)
+    x, y, fresh = lm.windows(ids, np.array([300]))
+    for row, target, scored in zip(x[1:], y[1:], fresh[1:], strict=True):
+        for place in np.flatnonzero(scored):
+            seen = row[: lm.CONTEXT + place + 1]
+            assert len(seen) >= 9 and (np.diff(seen) == 1).all() and target[place] in (seen[-1] + 1, 0)
+    net = lm.Network.fresh(np.log(np.full(lm.CLASSES, 1 / lm.CLASSES, np.float32)))
+    assert lm.CLASSES == 1600 and lm.WINDOW == 32 and net.p["w1"].shape[1] == 32
+    assert inspect.signature(lm.score_texts).parameters["rounds"].default == 2
+
+
 # --- secrets
 
 
