@@ -93,7 +93,7 @@ def _rows(docs: DataFrame, width: int, per_cent: int, frequent: np.ndarray) -> D
         some = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(least, counts)
         return [counts.astype(np.int64), node.view(np.int64), two.view(np.int64), lists, _packed(hashes[some], least)]
 
-    return annotate(docs, compute, "n bigint, node bigint, `check` bigint, lead array<bigint>, low binary", keep=["key"])
+    return annotate(docs, compute, "n bigint, node bigint, `check` bigint, lead array<bigint>, low binary", keep=[c for c in ("key", "mark") if c in docs.columns])
 
 
 def _packed(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -374,7 +374,13 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     Equal sets are linked. Sets are compared by 64-bit hashes, a pair's overlap by 40 bits of them. Repeated rows are copies; rows
     without a key link by equal sets only, and their component is the least key of these, or null. An empty table gives no rows; other columns don't matter.
     """
-    docs = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
+    rows, of_node = _grouped(docs.select(quoted(key).alias("key"), quoted(text).alias("text")), F.min("key"), width, per_cent)
+    out = rows.select("key", "n", "node").join(of_node.withColumnRenamed("first", "component_id"), "node", "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, least, width: int = 5, per_cent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The rows with their sets' nodes, and (node, first): the least of the aggregate `least` over the rows of each node's component."""
     frequent = _frequent(docs, width)
     rows = stored(_rows(docs, width, per_cent, frequent), "rows")
     cells = _meeting(rows, frequent)
@@ -387,17 +393,31 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         more = more.unionByName(_block_links(apart, docs, rows, width, per_cent))
     groups = components(links.unionByName(more)) if not more.isEmpty() else groups
     release(apart, links)
-    own = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
+    own = rows.where("n > 0").groupBy("node").agg(least.alias("least"))
     named = own.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = named.select("node", "component").join(least, "component").select("node", "component_id")
-    out = rows.select("key", "n", "node").join(of_node, "node", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    return rows, named.select("node", "component").join(first, "component").select("node", "first")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs' rows without those whose component has a smaller key; rows without a key stay."""
-    gone = join_similar(docs, key, text, **options).where(quoted(key) != F.col("component_id")).select(quoted(key).alias("_gone")).distinct()
-    gone = stored(gone, "gone")
-    marks = F.broadcast(gone) if gone.count() <= SENT else gone
-    return docs.join(marks, quoted(key) == F.col("_gone"), "left_anti")
+    """One row of each component: that of the least key, of the least hash of the text where a key repeats; a null key comes last.
+
+    Each row is judged by its own text, not by its key alone. Of rows that repeat key and text the first in JSON stays. Rows without
+    words are their own components and stay.
+    """
+    hashed = F.xxhash64(quoted(text))
+    same = quoted(key).eqNullSafe(F.col("_first_key")) & (hashed == F.col("_first_mark"))
+    slim = docs.select(quoted(key).alias("key"), quoted(text).alias("text"), hashed.alias("mark"))
+    rows, of_node = _grouped(slim, F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")), **options)
+    judged = rows.where("n > 0").select("key", "mark", "node").join(of_node, "node")
+    stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark"))
+    marks = judged.groupBy(F.col("key").alias("_first_key"), F.col("mark").alias("_first_mark")).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marks = stored(marks.where("not stays or n > 1"), "marks")
+    sent = lambda some: F.broadcast(some) if some.count() <= SENT else some
+    gone, again = (marks.where(c).select("_first_key", "_first_mark") for c in ("not stays", "stays"))
+    kept = docs.join(sent(gone), same, "left_anti")
+    if again.isEmpty():
+        return kept
+    again, row = sent(again), F.struct(*[quoted(c) for c in docs.columns])
+    one = kept.join(again, same, "left_semi").groupBy(quoted(key).alias("_first_key"), hashed.alias("_first_mark")).agg(F.min_by(row, F.to_json(row)).alias("_one"))
+    return kept.join(again, same, "left_anti").unionByName(one.select("_one.*"))

@@ -312,6 +312,18 @@ def test_ngram_join(spark, monkeypatch, width, per_cent, group):
     assert collections.Counter(tuple(r) for r in got) == brute_components(rows, width, per_cent)
 
 
+def test_keep_first_judges_rows(spark):
+    """One row of each component, whatever keys repeat or are null."""
+    from rillframe.llm.ngram_join import keep_first
+
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(1, a, "en", "a"), (2, a + " tail", "en", "a"), (2, b, "en", "a"), (2, b, "fr", "a"), (3, c, "en", "a"), (3, c, "en", "a"), (None, d, "en", "a"), (None, d, "en", "a"), (None, a, "en", "a"), (None, None, "en", "a"), (None, "", "en", "a"), (4, "", "en", "a")]
+    got = keep_first(documents(spark, rows).repartition(3))
+    assert got.columns == documents(spark, rows).columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(1, a), (2, b), (3, c), (None, d), (None, None), (None, ""), (4, "")])
+
+
 def test_ngram_join_odd(odd, odd_rows, none):
     from rillframe.llm.ngram_join import join_similar, keep_first
 
