@@ -291,6 +291,16 @@ def reduce_optional(t: Tables):
     return A.reduce_optional(few, lambda a, x: (a * 7 + x) % 10007, "event_id")
 
 
+@query()
+def fold_whole(t: Tables):
+    return A.fold(t.events_in_order, F.lit(1).cast("bigint"), lambda a, x: (a * 31 + x) % 1000003, "event_id")
+
+
+@query()
+def reduce_optional_whole(t: Tables):
+    return A.reduce_optional(t.events_in_order, lambda a, x: (a * 7 + x) % 10007, "event_id")
+
+
 # groups and collectors
 
 

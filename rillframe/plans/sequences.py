@@ -438,3 +438,36 @@ def string_lines(t: Tables):
 
     few = t.documents.where("doc_id < 100")
     return count(from_string_lines(few, "text")).withColumnRenamed("count", "lines")
+
+
+# --- operators whose queries with SQL take some rows, over whole tables
+
+
+@query()
+def flatten_whole(t: Tables):
+    s = _values(t)
+    return T.flatten(s.with_df(s.df.withColumn("value", F.array(F.col("value"), F.col("value") + 1))))
+
+
+@query()
+def zip_with_index_whole(t: Tables):
+    return T.zip_with_index(_values(t))
+
+
+@query()
+def distinct_until_changed_by_whole(t: Tables):
+    return _ids(S.distinct_until_changed_by(Ordered(t.events.select("event_id", "value"), ["event_id"]), lambda a, b: F.abs(b - a) <= 20))
+
+
+@query()
+def scan_whole(t: Tables):
+    s = Ordered(t.events.select("user_id", F.col("event_id").alias("value"), "event_id"), ["event_id"])
+    return W.scan(s, F.lit(1).cast("bigint"), lambda a, x: (a * 3 + x) % 1009, by=["user_id"]).df.select("event_id", "user_id", "value")
+
+
+@query()
+def string_lines_whole(t: Tables):
+    from rillframe.operators.aggregates import count
+    from rillframe.sources.text import from_string_lines
+
+    return count(from_string_lines(t.documents, "text")).withColumnRenamed("count", "lines")
