@@ -9,6 +9,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,26 @@ def tidy() -> None:
         return
 
 
+@lru_cache(maxsize=1)
+def _one_thread() -> None:
+    """Products of matrices in this worker run in one thread: the cores are dealt to tasks already, and small products lose by more."""
+    import ctypes
+    import glob
+    import os
+
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def tidied(run):
-    """A function over batches that tidies up when its batches are done."""
+    """A function over batches for a worker, which tidies up when its batches are done."""
 
     def tidy_run(batches):
+        _one_thread()
         yield from run(batches)
         tidy()
 
@@ -256,6 +273,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def plain(docs: DataFrame, *names: str | None) -> tuple[DataFrame, list[str | None]]:
+    """docs with its columns named c0, c1, … by their places, and those names of `names` (None where docs has none such).
+
+    Operators that return docs' own columns work on these, so that no name of theirs meets one of the user's, and rename at the end.
+    """
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    loose = {c.lower(): place for c, place in places.items()}
+    return docs.toDF(*places.values()), [None if n is None else places.get(n, loose.get(n.lower())) for n in names]
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """The package on all workers, and texts in small batches."""
     for key, value in BATCHES.items():

@@ -9,10 +9,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, partitions, quoted, stored, tidied, word_bounds
+from rillframe.llm.common import annotate, partitions, plain, quoted, stored, tidied, word_bounds
 
 #: Weights by the rank of a source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -35,18 +36,25 @@ def _sorted_runs(df: DataFrame, order: list[str], group: list[str], label: str)
     schema = ranged.withColumn("_before", F.lit(0).cast("long")).schema
 
     def run(batches):
-        held, total = None, 0
+        held, total = None, 0  # the last row's group, and its sum so far
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            keys = list(zip(*(batch.column(g).to_pylist() for g in group), strict=True)) if group else [()] * batch.num_rows
-            sizes = batch.column("size").to_pylist()
-            before = []
-            for key, n in zip(keys, sizes, strict=True):
-                if key != held:
-                    held, total = key, 0
-                before.append(total)
-                total += n
+            fresh = np.zeros(n, bool)  # where a group begins
+            for g in group:
+                column = batch.column(g)
+                fresh[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            first = [batch.column(g)[0].as_py() for g in group]
+            fresh[0] = first != held
+            sizes = batch.column("size").to_numpy()
+            before = np.cumsum(sizes) - sizes
+            heads = np.flatnonzero(fresh)
+            start = np.where(np.arange(n) < (heads[0] if len(heads) else n), -total, 0)
+            if len(heads):
+                start[heads[0] :] = np.repeat(before[heads], np.diff(np.append(heads, n)))
+            before = before - start
+            held, total = [batch.column(g)[n - 1].as_py() for g in group], int(before[-1] + sizes[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], names=[*batch.schema.names, "_before"])
 
     return stored(ranged.mapInArrow(tidied(run), schema), label)
@@ -126,23 +134,23 @@ def _plan(docs: DataFrame, key: str, source: str, text: str, tag: Column, weight
 def take_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", n_chars: str | None = "n_chars", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
     """The mixed rows themselves, in docs' columns: a row for each whole epoch and, at a source's cut, one whose text ends there.
 
-    Rows that the mix takes nothing from are gone, rows of size 0 among them. Repeated rows count one by one, as in mix_sources.
+    Rows that the mix takes nothing from are gone, null, empty and blank texts among them. Repeated rows count one by one, as in mix_sources;
+    null keys and sources are as there. Texts of any length are counted and cut whole. An empty table gives no rows. Other columns stay as they
+    are, whatever their names and types.
     """
-    # rows alike in all columns can stand for each other: one of them carries the epochs of all
-    tag = F.xxhash64(*[quoted(c) for c in docs.columns])
-    plan = _plan(docs, key, source, text, tag, weights, epochs, seed).where("taken > 0")
-    # how many words each output row holds: whole epochs, then a part
-    size, taken = F.col("size"), F.col("taken")
-    held = F.transform(F.sequence(F.lit(1), F.ceil(taken / size).cast("int")), lambda i: F.least(size, taken - (i - 1) * size))
-    parts = plan.select("key", "tag", "size", held.alias("held")).groupBy("key", "tag").agg(F.flatten(F.collect_list("held")).alias("_mix_words"), F.max("size").alias("_mix_size")).withColumnsRenamed({"key": "_mix_key", "tag": "_mix_tag"})
-    one = docs.withColumn("_mix_own", tag)
-    one = one.join(parts, quoted(key).eqNullSafe(F.col("_mix_key")) & (F.col("_mix_own") == F.col("_mix_tag"))).drop("_mix_key", "_mix_tag")
-    out = one.withColumn("_mix_hold", F.explode("_mix_words")) if not _repeats(plan) else _once(one, key).withColumn("_mix_hold", F.explode("_mix_words"))
+    names = docs.columns
+    rows, (key, source, text, n_chars) = plain(docs, key, source, text, n_chars)
+    # a number for each row, stored with it, so that the plan meets its very row
+    rows = stored(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    plan = _plan(rows, key, source, text, F.col("number"), weights, epochs, seed).where("taken > 0").select(F.col("tag").alias("number"), "size", "taken")
+    # how many words each output row holds: whole epochs, then a part; `epochs` of them at most
+    held = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")), lambda i: F.least(F.col("size"), F.col("taken") - (i - 1) * F.col("size")))
+    out = rows.join(plan, "number").withColumn("hold", F.explode(held))
     # one row of a source ends at its cut; only such texts go to Python
-    short = F.col("_mix_hold") < F.col("_mix_size")
-    out = out.withColumn("_mix_cut", _first_words(F.when(short, quoted(text)), F.col("_mix_hold"))).withColumn("_mix_text", F.coalesce("_mix_cut", quoted(text)))
-    fresh = {text: F.col("_mix_text")} | ({n_chars: F.length("_mix_text").cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
-    return out.select(*[fresh[c].alias(c) if c in fresh else quoted(c) for c in docs.columns])
+    cut = _first_words(F.when(F.col("hold") < F.col("size"), F.col(text)), F.col("hold"))
+    out = out.withColumn("cut", cut).withColumn("taken_text", F.coalesce("cut", text))
+    fresh = {text: F.col("taken_text")} | ({n_chars: F.length("taken_text").cast(rows.schema[n_chars].dataType)} if n_chars else {})
+    return out.select(*[fresh.get(c, F.col(c)).alias(c) for c in rows.columns if c != "number"]).toDF(*names)
 
 
 def _first_words(text: Column, n: Column) -> Column:
@@ -159,13 +167,3 @@ def _first_words(text: Column, n: Column) -> Column:
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(cut, "string")(text, n)
-
-
-def _repeats(plan: DataFrame) -> bool:
-    """Whether rows alike in all columns stand in the plan."""
-    return not plan.groupBy("key", "tag").count().where("count > 1").isEmpty()
-
-
-def _once(rows: DataFrame, key: str) -> DataFrame:
-    """One of each set of rows alike in all columns."""
-    return rows.dropDuplicates([key, "_mix_own"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, quoted, remainder, rolling, stored, substring_hash, tidied, word_bounds
+from rillframe.llm.common import annotate, plain, quoted, remainder, rolling, stored, substring_hash, tidied, word_bounds
 
 #: Byte classes, each a statistic of its own (share and logarithm of the count).
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\x0b\x0c\r", "\n", ".", ",", "!?", "|", "#$%&*", "\"'()[]{}<>", ":;=/\\", "-_+~^`@")
@@ -200,14 +200,15 @@ def _fit(docs, labels, key, text, label, folds, fit):
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = 0.3, **fit) -> DataFrame:
-    """The rows of docs, all columns as they were, that the classifier doesn't reject (score at least `threshold`)."""
+    """The rows of docs, all columns as they were, that the classifier doesn't reject (score at least `threshold`).
+
+    Learnt as in classify_quality. Null and empty texts are judged by their all-zero statistics, null keys and repeated rows like others, each by
+    its own text; texts of any length are read whole. An empty table gives no rows. Columns may have any names and types.
+    """
     _, model = _fit(docs, labels, key, text, label, folds, fit)
+    rows, (text,) = plain(docs, text)
 
     def compute(data, offsets):
         return [model.score(statistics(data, offsets).astype(float)) >= threshold]
 
-    keep = docs.columns
-    mark = "_kept"
-    while mark in keep:
-        mark += "_"
-    return annotate(docs.withColumn("__t", quoted(text)), compute, f"`{mark}` boolean", "__t", keep).where(quoted(mark)).select(*[quoted(c) for c in keep])
+    return annotate(rows, compute, "kept boolean", text).where("kept").drop("kept").toDF(*docs.columns)
