@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from functools import lru_cache
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, quoted
+from rillframe.llm.common import annotate, plain
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "novel")
@@ -24,7 +25,9 @@ ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 #: Words near which an incompressible string is reported.
 SENSITIVE = (b"auth", b"bearer", b"credential", b"passphrase", b"passwd", b"password", b"private", b"pwd", b"secret", b"signature", b"token", b"apikey", b"api_key", b"api-key", b"access_key")
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-#: A candidate begins at most so many bytes after a sensitive word; so much text around it primes the compressor.
+#: What may stand between candidates that go on one another: parts of a token, lines of a key, pieces of a string put together.
+_JOINT = re.compile(rb"""(?:[.\s"'+,]|\\[rn]){1,8}""")
+#: A candidate is at most so many bytes from a sensitive word; so much text around it primes the compressor.
 REACH, BEFORE, AFTER = 48, 256, 64
 #: Marginal compressed bytes for a byte of the candidate from which it counts as new.
 NOVELTY = 0.7
@@ -65,34 +68,60 @@ def find_spans(raw: bytes, threshold: float = NOVELTY) -> list[tuple[int, int, i
     for word in SENSITIVE:
         at = low.find(word)
         while at >= 0:
-            near.append(at + len(word))
+            near.append((at, at + len(word)))
             at = low.find(word, at + 1)
     if near:
-        base, tried, new = sorted(spans), set(), []
-        for end in near:
-            for m in _CANDIDATE.finditer(raw, end, end + REACH + 512):
-                a = m.start()
-                if a > end + REACH:
-                    break
-                b = _CANDIDATE.match(raw, a).end() if m.end() == end + REACH + 512 else m.end()
-                text = raw[a:b]
-                if a in tried or not re.search(rb"[0-9]", text) or not re.search(rb"[A-Za-z]", text):
-                    continue
-                tried.add(a)
-                if any(s < b and a < e for s, _, e in base):
-                    continue
-                if novelty(raw[max(0, a - BEFORE) : a], text, raw[b : b + AFTER]) >= threshold:
-                    new.append((a, 3, b))
-        # of candidates that overlap (one begun inside another), the longer stays
-        new.sort(key=lambda s: (s[0], -s[2]))
-        last = -1
-        for s in new:
-            if s[0] >= last:
-                spans.append(s)
-                last = s[2]
+        covered, last = _union([(a, b) for a, _, b in spans]), -1
+        for a, b in _candidates(raw, near):
+            at = bisect.bisect_right(covered, (a, b))
+            clear = (not at or covered[at - 1][1] <= a) and (at == len(covered) or covered[at][0] >= b)
+            # of candidates that overlap (one begun inside another), the longer stays
+            if clear and a >= last and novelty(raw[max(0, a - BEFORE) : a], raw[a:b], raw[b : b + AFTER]) >= threshold:
+                spans.append((a, 3, b))
+                last = b
     return sorted(spans)
 
 
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal stretches that spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _candidates(raw: bytes, near: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs with a letter and a digit near sensitive words, before or after them, those that go on such a run over joints, and what follows a
+    word within a run; by start, and longer ones first."""
+    mixed = lambda a, b: re.search(rb"[0-9]", raw[a:b]) and re.search(rb"[A-Za-z]", raw[a:b])
+    runs = [m.span() for m in _CANDIDATE.finditer(raw) if mixed(*m.span())]
+    starts = [a for a, _ in runs]
+    chosen, inside = [False] * len(runs), set()
+    for s, e in near:
+        i = bisect.bisect_left(starts, e)
+        if i and runs[i - 1][1] > e:  # the word stands in a run, or its end does
+            a, b = e, runs[i - 1][1]
+            if b - a >= 16 and mixed(a, b):
+                inside.add((a, b))
+        while i < len(runs) and runs[i][0] <= e + REACH:
+            chosen[i] = True
+            i += 1
+        i = bisect.bisect_left(starts, s) - 1
+        while i >= 0 and runs[i][1] >= s - REACH:
+            if runs[i][1] <= s:
+                chosen[i] = True
+            i -= 1
+    for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+        for i in order:
+            j = i + (-1 if order.step > 0 else 1)
+            if chosen[j] and not chosen[i] and _JOINT.fullmatch(raw, runs[min(i, j)][1], runs[max(i, j)][0]):
+                chosen[i] = True
+    return sorted(inside.union(r for r, c in zip(runs, chosen, strict=True) if c), key=lambda r: (r[0], -r[1]))
+
+
 def _code_points(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if raw.isascii():
         return spans
@@ -105,8 +134,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     """`keep` columns (all) with secrets: array<struct<kind, start, end>> in code points, by start and then kind as in KINDS.
 
     assign, access and hex are fixed patterns, leftmost and non-overlapping within a kind. novel: runs of 16 or more of A-Za-z0-9+/_=- with
-    a letter and a digit that begin within REACH bytes after a word of SENSITIVE, overlap no span of the other kinds, and add at least
-    `threshold` compressed bytes for each of their own to the surroundings under the primed compressor. Null and empty texts have none.
+    a letter and a digit that stand within REACH bytes of a word of SENSITIVE, before or after it, or go on such a run (lines of a key, parts
+    of a token), overlap no span of the other kinds, and add at least `threshold` compressed bytes for each of their own to the surroundings
+    under the primed compressor. Null and empty texts have none; long ones are scanned whole.
     Rows are independent, so repeated rows, empty tables and any other columns are no special cases.
     """
     def compute(data, offsets):
@@ -122,8 +152,14 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", mask: str = "[SECRET]", threshold: float = NOVELTY) -> DataFrame:
-    """docs with each stretch of text that spans cover replaced by `mask`; all other text and columns stay. Null texts come out empty."""
+    """docs with each stretch of text that spans cover replaced by `mask`, and n_chars, if docs has it, counted anew; all else stays.
+
+    Null texts come out empty; empty ones stay so, and long ones are scanned whole. Rows are independent, so repeated rows are treated alike and
+    an empty table gives no rows. Other columns stay as they are, whatever their names and types.
+    """
     cover = mask.encode()
+    names = docs.columns
+    docs, (text, n_chars) = plain(docs, text, n_chars)
 
     def compute(data, offsets):
         raw = data.tobytes()
@@ -144,6 +180,6 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n
         return [pa.Array.from_buffers(pa.string(), len(out), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(out))])]
 
     keep = [c for c in docs.columns if c != text]
-    clean = annotate(docs, compute, f"`{text.replace('`', '``')}` string", text, keep)
-    fresh = {n_chars: F.length(quoted(text)).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {}
-    return clean.select(*[fresh[c].alias(c) if c in fresh else quoted(c) for c in docs.columns])
+    clean = annotate(docs, compute, f"{text} string", text, keep)
+    fresh = {n_chars: F.length(text).cast(docs.schema[n_chars].dataType)} if n_chars else {}
+    return clean.select(*[fresh.get(c, F.col(c)).alias(c) for c in docs.columns]).toDF(*names)
