@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillframe.llm.common import annotate, blocks, mix, partitions, quoted, release, remainder, stored, text_bytes, tidied, word_hashes
+from rillframe.llm.common import annotate, blocks, mix, partitions, plain, quoted, release, remainder, stored, text_bytes, tidied, word_hashes
 from rillframe.llm.graph import components
 
 _U = np.uint64
@@ -25,8 +26,12 @@ _U = np.uint64
 SAMPLE, SEEN, FREQUENT = 16, 2, 1 << 18
 #: Rows that meet in a column are paired one by one up to so many; more are paired in blocks of about as many.
 GROUP = 256
-#: Up to so many keys are sent to all executors to pick texts; more are joined by a shuffle.
+#: Up to so many rows of fixed width (a key of a text, a number, a hash) are sent to all executors; more are joined by a shuffle.
 SENT = 400_000
+#: A row with more partners than this is joined with them in several parts.
+HUB = 512
+#: Bytes of a hash in the least columns of a row (a bound) and in whole rows (the overlap).
+SHORT, WHOLE = 5, 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +74,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, width: int, per_cent: int, frequent: np.ndarray) -> DataFrame:
-    """key, n (size of the set), node and check (two hashes of the set), lead (the leading columns of the row), low (the least hashes of the set, packed)."""
+    """key, mark, n (size of the set), node (a hash of the set), lead (the leading columns of the row), low (the least hashes of the set, packed)."""
     order = np.argsort(frequent)
     known, rank = frequent[order], order
 
@@ -77,9 +82,6 @@ def _rows(docs: DataFrame, width: int, per_cent: int, frequent: np.ndarray) -> D
         hashes, counts = shingles(data, offsets, width)
         n = len(counts)
         of = np.repeat(np.arange(n), counts)
-        one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        np.add.at(one, of, mix(hashes + _U(0xABCD)))
-        np.add.at(two, of, mix(hashes ^ _U(0x1234567)))
         late = np.zeros(len(hashes), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
@@ -88,18 +90,24 @@ def _rows(docs: DataFrame, width: int, per_cent: int, frequent: np.ndarray) -> D
         by = np.lexsort((hashes, late, of))
         first = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(lead, counts)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lead)]), pa.int32()), pa.array(hashes[by][first].view(np.int64)))
-        node = mix(one + counts.astype(np.uint64))
         least = np.where(counts > 0, np.minimum(counts, 16 + counts * (100 - per_cent) // 100), 0)
         some = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(least, counts)
-        return [counts.astype(np.int64), node.view(np.int64), two.view(np.int64), lists, _packed(hashes[some], least)]
+        return [counts.astype(np.int64), _nodes(hashes, counts), lists, _packed(hashes[some], least, SHORT)]
 
-    return annotate(docs, compute, "n bigint, node bigint, `check` bigint, lead array<bigint>, low binary", keep=[c for c in ("key", "mark") if c in docs.columns])
+    return annotate(docs, compute, "n bigint, node bigint, lead array<bigint>, low binary", keep=["key", "mark"])
 
 
-def _packed(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """The first 40 bits of each hash of each row, as binary; 40 bits tell those of two rows apart, and keep their order."""
-    cut = np.ascontiguousarray((hashes >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
-    ends = np.concatenate([[0], np.cumsum(counts) * 5]).astype(np.int32)
+def _nodes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each row's set."""
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(mix(hashes + _U(0xABCD)), dtype=np.uint64))
+    ends = np.cumsum(counts)
+    return mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64)).view(np.int64)
+
+
+def _packed(hashes: np.ndarray, counts: np.ndarray, width: int) -> pa.Array:
+    """The first `width` bytes of each hash of each row, as binary; they keep the hashes' order."""
+    cut = np.ascontiguousarray((hashes >> _U(64 - 8 * width)).view(np.uint8).reshape(-1, 8)[:, :width]).ravel()
+    ends = np.concatenate([[0], np.cumsum(counts) * width]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(cut)])
 
 
@@ -210,7 +218,7 @@ def _block_links(apart: DataFrame, docs: DataFrame, rows: DataFrame, width: int,
         if not len(use):
             return
         batch = t.take(pa.array(use)).combine_chunks().to_batches()[0]
-        value, of, _ = _cells([(d, o) for _, d, o in blocks(batch, "grams", 1 << 30)])
+        value, of, _ = _cells([(d, o) for _, d, o in blocks(batch, "grams", 1 << 30)], WHOLE)
         _, column, often = np.unique(value, return_inverse=True, return_counts=True)
         keep = often[column] > 1
         _, column = np.unique(column[keep], return_inverse=True)
@@ -270,7 +278,20 @@ def _both(pairs: DataFrame, sides: DataFrame, value: str) -> DataFrame:
     more = ["n"] if "n" in sides.columns else []
     left = sides.select(F.col("node").alias("a"), F.col(value).alias("x"), *more)
     right = sides.select(F.col("node").alias("b"), F.col(value).alias("y"), *[F.col(c).alias("m") for c in more])
-    return pairs.join(left, "a").join(right, "b")
+    return _salted(_salted(pairs, left, "a", "b", pairs), right, "b", "a", pairs)
+
+
+def _salted(joined: DataFrame, side: DataFrame, own: str, other: str, pairs: DataFrame) -> DataFrame:
+    """joined (rows of pairs, and more) joined with side on `own`; a row of side with very many partners goes to several tasks, each with a part of these."""
+    hubs = pairs.groupBy(own).agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts")).where("parts > 1")
+    n = hubs.count()
+    if not n:
+        return joined.join(side, own)
+    hubs = F.broadcast(hubs) if n <= SENT else hubs  # a long and an int
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = joined.join(hubs, own, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    copies = side.join(hubs, own, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copies, [own, "part"]).drop("part")
 
 
 def _shared(left, right, m):
@@ -291,7 +312,7 @@ def _possible(pairs: DataFrame, rows: DataFrame, per_cent: int) -> DataFrame:
             k = batch.num_rows
             if not k:
                 continue
-            left, right = (_cells([(d, o) for _, d, o in blocks(batch, c, 1 << 21)]) for c in ("x", "y"))
+            left, right = (_cells([(d, o) for _, d, o in blocks(batch, c, 1 << 21)], SHORT) for c in ("x", "y"))
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
             limit = np.full(k, np.iinfo(np.uint64).max, np.uint64)
             for (value, pair, size), whole in ((left, n), (right, m)):
@@ -309,26 +330,25 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
+def _sent(few: DataFrame) -> DataFrame:
+    """few, marked to be broadcast if it has at most SENT rows, all of fixed width."""
+    wide = any(f.dataType not in (T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType(), T.BooleanType()) for f in few.schema)
+    return few if wide or few.count() > SENT else F.broadcast(few)
+
+
 def _sets(nodes: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(node, grams): the whole sets of the nodes, packed, made anew from one text of each."""
-    one = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    one = stored(one.where("key is not null"), "needed")
-    texts = docs.where("key is not null")
-    if one.count() <= SENT:
-        texts = texts.join(F.broadcast(one.select("key").distinct()), "key", "left_semi")
-    else:
-        texts = texts.join(one.select("key").distinct(), "key", "left_semi")
+    """(node, grams): the whole sets of the nodes, packed, made anew from one text of each, which its key, null or not, and its hash tell."""
+    one = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("one"))
+    one = stored(one.select("node", F.col("one.key").alias("key"), F.col("one.mark").alias("mark")), "needed")
+    names = one.select(F.col("key").alias("its"), F.col("mark").alias("that")).distinct()
+    texts = docs.join(_sent(names), (F.col("mark") == F.col("that")) & F.col("key").eqNullSafe(F.col("its")), "left_semi")
 
     def compute(data, offsets):
         hashes, counts = shingles(data, offsets, width)
-        n = len(counts)
-        of = np.repeat(np.arange(n), counts)
-        total = np.zeros(n, np.uint64)
-        np.add.at(total, of, mix(hashes + _U(0xABCD)))
-        return [mix(total + counts.astype(np.uint64)).view(np.int64), _packed(hashes, counts)]
+        return [_nodes(hashes, counts), _packed(hashes, counts, WHOLE)]
 
-    sets = annotate(texts, compute, "node bigint, grams binary", keep=["key"]).join(one, ["node", "key"], "left_semi")
-    sets = sets.groupBy("node").agg(F.first("grams").alias("grams"))  # a key may stand in several rows
+    sets = annotate(texts, compute, "node bigint, grams binary", keep=[])
+    sets = sets.groupBy("node").agg(F.first("grams").alias("grams"))  # a row may be repeated
     sets = stored(sets, "sets")
     release(one)
     return sets
@@ -347,7 +367,7 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_c
             m = batch.num_rows
             if not m:
                 continue
-            left, right = (_cells([(d, o) for _, d, o in blocks(batch, c, 1 << 21)]) for c in ("x", "y"))
+            left, right = (_cells([(d, o) for _, d, o in blocks(batch, c, 1 << 21)], WHOLE) for c in ("x", "y"))
             overlap = _shared(left, right, m)
             union = left[2] + right[2] - overlap
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(100 * overlap >= per_cent * union))
@@ -357,12 +377,12 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, per_c
     return links
 
 
-def _cells(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, number of the row of each, size of each row) of packed 40-bit sets."""
-    sizes = np.concatenate([np.diff(o) // 5 for _, o in parts])
-    raw = np.concatenate([d for d, _ in parts]).reshape(-1, 5)
+def _cells(parts: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, number of the row of each, size of each row) of packed sets."""
+    sizes = np.concatenate([np.diff(o) // width for _, o in parts])
+    raw = np.concatenate([d for d, _ in parts]).reshape(-1, width)
     wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw
+    wide[:, :width] = raw
     return wide.view(np.uint64).ravel(), np.repeat(np.arange(len(sizes)), sizes), sizes
 
 
@@ -371,10 +391,10 @@ def join_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
     Two rows link when 100 * overlap >= per_cent * union of their sets of `width`-word n-grams (words: [^\\x20\\x09-\\x0D]+, A-Z lowered; a row
     of fewer words is one n-gram). Rows without words and null texts have empty sets and link with nothing, so each is its own component.
-    Equal sets are linked. Sets are compared by 64-bit hashes, a pair's overlap by 40 bits of them. Repeated rows are copies; rows
-    without a key link by equal sets only, and their component is the least key of these, or null. An empty table gives no rows; other columns don't matter.
+    Equal sets are linked. Sets, and n-grams in a pair's overlap, are compared by 64-bit hashes. Repeated rows are copies. Rows without a key
+    link like others; a component of such rows alone has a null id. An empty table gives no rows; other columns don't matter.
     """
-    rows, of_node = _grouped(docs.select(quoted(key).alias("key"), quoted(text).alias("text")), F.min("key"), width, per_cent)
+    rows, of_node = _grouped(docs.select(quoted(key).alias("key"), quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("mark")), F.min("key"), width, per_cent)
     out = rows.select("key", "n", "node").join(of_node.withColumnRenamed("first", "component_id"), "node", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
 
@@ -402,22 +422,24 @@ def _grouped(docs: DataFrame, least, width: int = 5, per_cent: int = 80) -> tupl
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each component: that of the least key, of the least hash of the text where a key repeats; a null key comes last.
 
-    Each row is judged by its own text, not by its key alone. Of rows that repeat key and text the first in JSON stays. Rows without
-    words are their own components and stay.
+    Components are as in join_similar. Each row is judged by its own text, not by its key alone. Of rows that repeat key and text the first in
+    JSON stays. Rows without words, null and empty texts among them, are their own components and stay. Texts of any length are compared whole.
+    An empty table gives no rows. All columns stay as they are, whatever their names and types.
     """
-    hashed = F.xxhash64(quoted(text))
-    same = quoted(key).eqNullSafe(F.col("_first_key")) & (hashed == F.col("_first_mark"))
-    slim = docs.select(quoted(key).alias("key"), quoted(text).alias("text"), hashed.alias("mark"))
+    names = docs.columns
+    docs, (key, text) = plain(docs, key, text)
+    hashed = F.xxhash64(text)
+    same = F.col(key).eqNullSafe(F.col("_first_key")) & (hashed == F.col("_first_mark"))
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), hashed.alias("mark"))
     rows, of_node = _grouped(slim, F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")), **options)
     judged = rows.where("n > 0").select("key", "mark", "node").join(of_node, "node")
     stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark"))
     marks = judged.groupBy(F.col("key").alias("_first_key"), F.col("mark").alias("_first_mark")).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
     marks = stored(marks.where("not stays or n > 1"), "marks")
-    sent = lambda some: F.broadcast(some) if some.count() <= SENT else some
     gone, again = (marks.where(c).select("_first_key", "_first_mark") for c in ("not stays", "stays"))
-    kept = docs.join(sent(gone), same, "left_anti")
+    kept = docs.join(_sent(gone), same, "left_anti")
     if again.isEmpty():
-        return kept
-    again, row = sent(again), F.struct(*[quoted(c) for c in docs.columns])
-    one = kept.join(again, same, "left_semi").groupBy(quoted(key).alias("_first_key"), hashed.alias("_first_mark")).agg(F.min_by(row, F.to_json(row)).alias("_one"))
-    return kept.join(again, same, "left_anti").unionByName(one.select("_one.*"))
+        return kept.toDF(*names)
+    again, row = _sent(again), F.struct(*docs.columns)
+    one = kept.join(again, same, "left_semi").groupBy(F.col(key).alias("_first_key"), hashed.alias("_first_mark")).agg(F.min_by(row, F.to_json(row)).alias("_one"))
+    return kept.join(again, same, "left_anti").unionByName(one.select("_one.*")).toDF(*names)
