@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from rillframe.llm.common import blocks, quoted, remainder, text_bytes, tidied
 
-#: Text is cut into stretches of so many bytes; the network reads each from both ends and labels all its positions.
-STRETCH = 128
-#: At most so many stretches are learnt from.
-LEARNT = 6000
+#: Text is cut into stretches of so many bytes; the network reads each, and so many bytes beside it, from both ends and labels its positions.
+STRETCH, MARGIN = 128, 16
+#: At most so many texts are learnt from, each at so many places at most, and at most so many languages, the most frequent.
+LEARNT, PLACES, LANGUAGES = 6000, 8, 500
 UNKNOWN = "und"
 
 
@@ -109,8 +109,11 @@ class ByteNetwork:
                 back = ds * z + dreset * r + u.T @ dg
         return float(loss), g
 
-    def pooled(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        """Sums over positions of the probabilities of each language: texts by languages. Stretches are given by start, length and text."""
+    def pooled(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lead: np.ndarray, trail: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """Sums over positions of the probabilities of each language: texts by languages.
+
+        What is read is given by start, length and text; its first `lead` and last `trail` positions don't count.
+        """
         out = np.zeros((n, len(self.languages)))
         order = np.argsort(-lengths, kind="stable")
         k = len(self.languages)
@@ -118,9 +121,10 @@ class ByteNetwork:
             these = order[a : a + 4096]
             steps = int(lengths[these[0]])
             at = starts[these] + np.arange(steps)[:, None]
-            inside = np.arange(steps)[:, None] < lengths[these]
+            step = np.arange(steps)[:, None]
             x = data[np.minimum(at, len(data) - 1)]
-            x[~inside] = 0
+            x[step >= lengths[these]] = 0
+            inside = (step >= lead[these]) & (step < (lengths - trail)[these])
             forward, backward = self.states(x, "f"), self.states(x, "b")
             total = np.zeros((k, len(these)), np.float32)
             for t in range(steps):
@@ -134,36 +138,44 @@ class ByteNetwork:
         return out
 
 
-def stretches(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and text of each stretch of up to STRETCH bytes; all bytes are in one."""
+def stretches(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of up to STRETCH bytes, with up to MARGIN bytes of the text before and after: their starts and lengths with these, how many
+    bytes come before and after, and the texts. All bytes are in one stretch."""
     sizes = np.diff(offsets)
     many = -(-sizes // STRETCH)
     of = np.repeat(np.arange(len(sizes)), many)
     k = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
     starts = offsets[:-1][of] + k * STRETCH
-    return starts, np.minimum(STRETCH, offsets[1:][of] - starts), of
+    ends = np.minimum(starts + STRETCH, offsets[1:][of])
+    lead, trail = np.minimum(MARGIN, starts - offsets[:-1][of]), np.minimum(MARGIN, offsets[1:][of] - ends)
+    return starts - lead, ends - starts + lead + trail, lead, trail, of
 
 
 def fit_language(docs: DataFrame, hidden: int = 8, rounds: int = 260, batch: int = 256, rate: float = 0.02, seed: int = 5, most: int = LEARNT) -> ByteNetwork | None:
-    """Learn from (key, text, lang): from a stretch at a hash-chosen place of at most `most` texts, chosen by hash with equal parts of languages.
+    """Learn from (key, text, lang): from at most `most` texts, chosen by hash with equal parts of languages; from all of a text of up to PLACES
+    stretches, from PLACES stretches spread over a longer one, each at a hash-chosen place of its part.
 
-    Null languages and texts without bytes are left out. None if nothing is left.
+    Null languages and texts without bytes are left out, and languages beyond the LANGUAGES most frequent. None if nothing is left.
     """
     from pyspark.sql import Window
 
     some = docs.where("lang is not null and length(text) > 0")
-    languages = sorted(r[0] for r in some.select("lang").distinct().collect())
+    counts = {r[0]: r[1] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(most, LANGUAGES)).collect()}
+    languages = sorted(counts)
     if not languages:
         return None
     size, bytes_ = F.octet_length("text"), text_bytes()
-    start = (F.pmod(F.xxhash64(F.lit(seed), "key"), F.greatest(size - STRETCH + 1, F.lit(1))) + 1).cast("int")
+    many = F.least(F.lit(PLACES), F.ceil(size / STRETCH)).cast("int")
+    jitter = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1000)) / 1000.0
+    start = lambda i: (F.when(size <= PLACES * STRETCH, i * STRETCH).otherwise(F.floor((i + jitter) * (size - STRETCH) / PLACES)) + 1).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.substring(bytes_, start(i), F.lit(STRETCH)))
     # candidates by a threshold on a hash, known from counts, so that no sort of all rows is needed
-    counts = {r[0]: r[1] for r in some.groupBy("lang").count().collect()}
     each = max(1, most // len(languages))
     chance = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * each / n + 20 / n)))])
     share = (F.xxhash64(F.lit(seed + 1), "key") % 1_000_003 + 1_000_003) / 2_000_006.0
-    picked = some.where(share < chance[F.col("lang")]).select("lang", F.substring(bytes_, start, F.lit(STRETCH)).alias("piece"), F.xxhash64(F.lit(seed + 2), "key").alias("by"))
-    rows = picked.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("by", "piece"))).where(F.col("_n") <= each).orderBy("by", "piece").select("lang", "piece").collect()
+    picked = some.where(share < chance[F.col("lang")]).select("lang", cut.alias("pieces"), F.xxhash64(F.lit(seed + 2), "key").alias("by"))
+    chosen = picked.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("by", "pieces"))).where(F.col("_n") <= each)
+    rows = chosen.select("lang", "by", F.posexplode("pieces").alias("place", "piece")).orderBy("by", "place", "piece").collect()
     net = ByteNetwork.fresh(languages, hidden, seed)
     x = np.zeros((STRETCH, len(rows)), np.uint8)
     mask = np.zeros((STRETCH, len(rows)), np.float32)
