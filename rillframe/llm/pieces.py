@@ -2,13 +2,15 @@
 
 The lattice stands on UTF-8 bytes. Its edges are the pieces of a public vocabulary (a piece's lower one-eighth block stands for a space) and
 one-byte fall-back pieces, so every text, also one that holds that block character or broken UTF-8, has a path and decodes to itself.
-Pieces don't cross white space: a node stands before each white-space byte, where the forward sum starts anew. Each run between such
+Where two bytes meet that stand side by side in no piece, every path has a node, and the forward sum may start anew. Each run between such
 nodes is a small lattice; alike runs share one forward pass, and each occurrence draws its own path.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,20 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import annotate, _BYTE_KEYS, map_arrow, mix, quoted, rolling, substring_hash
+from rillframe.llm.common import _BYTE_KEYS, _power, map_arrow, mix, plain, rolling, substring_hash
 
-#: Longest piece in bytes; longer ones of the vocabulary take no part.
-LONGEST = 16
-#: Runs up to each of these lengths go through numpy together; longer ones one at a time.
+#: Runs up to each of these lengths go through numpy together; longer ones one at a time, so many bytes at once.
 WIDTHS = (4, 8, 12, 16, 24, 40, 64)
+STRETCH = 1 << 16
 #: Bytes of text at once, and bytes of different runs at once.
 TEXTS, RUNS = 1_000_000, 40_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_UP = np.array([pow(_BASE, i, 2**64) for i in range(LONGEST + WIDTHS[-1] + 1)], np.uint64)
-_DOWN = np.array([pow(pow(_BASE, -1, 2**64), i, 2**64) for i in range(LONGEST + WIDTHS[-1] + 1)], np.uint64)
-_SPLIT = np.zeros(256, bool)
-_SPLIT[[0x20, *range(0x09, 0x0E)]] = True
+_UP = np.array([pow(_BASE, i, 2**64) for i in range(256)], np.uint64)
+_DOWN = np.array([pow(pow(_BASE, -1, 2**64), i, 2**64) for i in range(256)], np.uint64)
 
 
 def _hash(raw: bytes) -> int:
@@ -59,9 +58,7 @@ class Vocabulary:
                 byte = int(re.fullmatch(r"<0x(..)>", piece)[1], 16)
                 self.fallback[byte], self.pieces[i] = i, bytes([byte])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                raw = piece.replace("▁", " ").encode()
-                if len(raw) <= LONGEST and not _SPLIT[list(raw[1:])].any():
-                    self.pieces[i] = raw
+                self.pieces[i] = piece.replace("▁", " ").encode()
         if (self.fallback < 0).any():
             raise ValueError("the vocabulary lacks byte pieces")
         # a merge vocabulary ranks its pieces; the weight of a piece falls as a power of its rank, fall-back bytes are last
@@ -74,6 +71,15 @@ class Vocabulary:
         self.start = np.concatenate([[0], np.cumsum(self.length)])
         self.flat = np.frombuffer(b"".join(p or b"" for p in self.pieces), np.uint8)
         self.find = {self.pieces[i]: i for i in usable}
+        self.longest = max(1, *map(len, self.find))
+        if self.longest > len(_UP) - WIDTHS[-1]:
+            raise ValueError("the vocabulary has pieces of very many bytes")
+        # whether some piece holds the two bytes side by side
+        self.joined = np.zeros((256, 256), bool)
+        inner = np.ones(max(len(self.flat), 1), bool)
+        inner[self.start[:-1][self.length > 0]] = False
+        at = np.flatnonzero(inner[: len(self.flat)])
+        self.joined[self.flat[at - 1], self.flat[at]] = True
         self.bits, keys = 20, np.array([_hash(p) for p in self.find], np.uint64)
         ids = np.array(list(self.find.values()), np.int32)
         self.key1, self.id1 = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
@@ -110,7 +116,7 @@ def vocabulary(path: str, alpha: float = 1.0) -> Vocabulary:
 def _forward(v: Vocabulary, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs (rows of bytes, padded): at each end position, the cumulative probability and the id of the last piece by its length."""
     m, n = rows.shape
-    k = min(n, LONGEST)
+    k = min(n, v.longest)
     sums = np.zeros((n + 1, m), np.uint64)
     np.cumsum(_BYTE_KEYS[rows.T] * _UP[:n, None], axis=0, out=sums[1:])
     total = np.zeros((n + 1, m))
@@ -140,29 +146,60 @@ def _uniform(seed: np.ndarray, position: np.ndarray) -> np.ndarray:
     return (mix(seed ^ mix(position.astype(np.uint64) + _U(0x632BE59BD9B4E019))) >> _U(40)).astype(np.float64) / 2**24
 
 
-def _long_run(v: Vocabulary, run: bytes, seed: int, offset: int) -> list[tuple[int, int]]:
-    """(start, id) of one sampled path over a run of any length."""
+def _ending(v: Vocabulary, run: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, length, id) of all pieces that end in (a, b] of a run, by end and length; fall-back pieces where no other piece of a byte is."""
+    low = max(0, a - v.longest)
+    sums, down = rolling(run[low:b]), _power("down", b - low)
+    found = []
+    for n in range(1, v.longest + 1):
+        end = np.arange(max(a + 1, n), b + 1)
+        ids = v.ids((sums[end - low] - sums[end - low - n]) * down[end - low - n])
+        if n == 1:
+            ids = np.where(ids < 0, v.fallback[run[end - 1]], ids)
+        some = ids >= 0
+        found.append((end[some], np.full(int(some.sum()), n), ids[some]))
+    end, length, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(end, kind="stable")
+    return end[order], length[order], ids[order]
+
+
+def _long_run(v: Vocabulary, run: np.ndarray, seed: int, offset: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(starts, ids) of one sampled path over a run of any length, by stretches from its end; kept are the forward sums alone."""
     n = len(run)
-    total, edges = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        found = []
-        for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
-            p = v.find.get(run[i:j], -1)
-            if p < 0 and i == j - 1:
-                p = int(v.fallback[run[i]])
-            if p >= 0:
-                found.append((i, p, total[i] + v.weight[p]))
-        top = max(x[2] for x in found)
-        sums = np.cumsum(np.exp(np.array([x[2] for x in found]) - top))
-        total[j] = top + float(np.log(sums[-1]))
-        edges[j] = (found, sums / sums[-1])
-    draws = _uniform(np.full(n + 1, seed, np.uint64), offset + np.arange(n + 1))
+    total = array("d", [0.0]) * (n + 1)
+    exp, log = math.exp, math.log
+    for a in range(0, n, STRETCH):
+        end, length, ids = _ending(v, run, a, min(a + STRETCH, n))
+        heads = np.flatnonzero(np.diff(end, prepend=-1)).tolist() + [len(end)]
+        length, weight = length.tolist(), v.weight[ids].tolist()
+        for j, (x, y) in enumerate(zip(heads[:-1], heads[1:], strict=True), a + 1):
+            if y == x + 1:
+                total[j] = total[j - length[x]] + weight[x]
+            else:
+                scores = [total[j - length[k]] + weight[k] for k in range(x, y)]
+                top = max(scores)
+                total[j] = top + log(sum([exp(s - top) for s in scores]))
     path, j = [], n
-    while j:
-        found, sums = edges[j]
-        i, p, _ = found[min(int(np.searchsorted(sums, draws[j], "right")), len(found) - 1)]
-        path.append((i, p))
-        j = i
+    for a in range((n - 1) // STRETCH * STRETCH, -1, -STRETCH):
+        b = min(a + STRETCH, n)
+        end, length, ids = _ending(v, run, a, b)
+        heads = np.flatnonzero(np.diff(end, prepend=-1)).tolist() + [len(end)]
+        length, weight, ids = length.tolist(), v.weight[ids].tolist(), ids.tolist()
+        draws = _uniform(np.full(b - a, seed, np.uint64), offset + np.arange(a + 1, b + 1)).tolist()
+        starts, chosen = [], []
+        while j > a:
+            x, y = heads[j - a - 1], heads[j - a]
+            left = draws[j - a - 1]
+            k = x
+            while k < y - 1:
+                left -= exp(total[j - length[k]] + weight[k] - total[j])
+                if left < 0:
+                    break
+                k += 1
+            j -= length[k]
+            starts.append(j)
+            chosen.append(ids[k])
+        path.append((np.array(starts), np.array(chosen, np.int32)))
     return path
 
 
@@ -171,9 +208,8 @@ def sample_pieces(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: n
     size = len(data)
     out = np.full(size, -1, np.int32)
     if size:
-        space = _SPLIT[data]
-        head = space.copy()
-        head[1:] |= space[:-1] & (data[:-1] != 0x20)  # a run: a white-space byte or none, and, after a space, the word
+        head = np.ones(size, bool)
+        head[1:] = ~v.joined[data[:-1], data[1:]]
         head[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(head)
         lengths = np.diff(np.append(starts, size))
@@ -211,8 +247,8 @@ def sample_pieces(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: n
                     end, which, start, seed, base = end[more], which[more], start[more], seed[more], base[more]
         for r in np.flatnonzero(lengths > WIDTHS[-1]):
             a = int(starts[r])
-            for i, p in _long_run(v, data[a : a + lengths[r]].tobytes(), int(seeds[doc[r]]), a - int(offsets[doc[r]])):
-                out[a + i] = p
+            for begin, ids in _long_run(v, data[a : a + lengths[r]], int(seeds[doc[r]]), a - int(offsets[doc[r]])):
+                out[a + begin] = ids
     places = np.flatnonzero(out >= 0)
     return out[places], np.diff(np.searchsorted(places, offsets))
 
@@ -231,12 +267,13 @@ def encode_sampled(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     alpha sharpens the weights (0: all paths alike; large: the best path). Draws depend on the seed, the row's key as text and the
     position: reruns, other partitions and other batches give the same pieces, repeated rows too. Null texts count as empty; empty texts
     have no pieces and are lossless. A null key counts as an empty one.
-    `model` is the vocabulary file's path, which each worker opens.
+    `model` is the vocabulary file's path, which each worker opens. An empty table gives no rows. Other columns stay as they are, whatever
+    their names and types; those named like the new ones are replaced.
     """
-    keep = docs.columns if keep is None else keep
-    seeded = docs.withColumn("__seed", F.xxhash64(F.lit(seed), F.coalesce(quoted(key).cast("string"), F.lit(""))))
-    fed = seeded.select(*[quoted(c) for c in keep if c not in ("ids", "n_pieces", "lossless")], "__seed", quoted(text).alias("__text"))
-    return _encode(fed, model, alpha)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_pieces", "lossless")]
+    rows, (key, text, *places) = plain(docs, key, text, *kept)
+    fed = rows.select(*places, F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("__seed"), F.col(text).alias("__text"))
+    return _encode(fed, model, alpha).toDF(*kept, "ids", "n_pieces", "lossless")
 
 
 def _encode(fed: DataFrame, model: str, alpha: float) -> DataFrame:
@@ -270,10 +307,16 @@ def _encode(fed: DataFrame, model: str, alpha: float) -> DataFrame:
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the text that each list of pieces stands for (null for a null list)."""
+    """df with the text that each list of pieces stands for: null for a null list, empty for an empty one.
+
+    Rows are independent; repeated rows decode alike, and an empty table gives no rows. Other columns stay as they are, whatever their names
+    and types; one named `out` is replaced.
+    """
     from pyspark.sql.types import StructType
 
-    keep = [c for c in df.columns if c != out]
+    names = [c for c in df.columns if c != out]
+    df, (ids, *keep) = plain(df, ids, *names)
+    fed = [*keep, ids] if ids not in keep else keep
     schema = StructType([df.schema[c] for c in keep]).add("__decoded", "binary")
 
     def run(batches):
@@ -282,4 +325,4 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
             found = [None if x is None else decode_pieces(v, np.array(x, np.int64)).tobytes() for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(found, pa.binary())], names=[*keep, "__decoded"])
 
-    return map_arrow(df.select(*[quoted(c) for c in keep]), run, schema).withColumn(out, F.col("__decoded").cast("string")).drop("__decoded")
+    return map_arrow(df.select(*fed), run, schema).withColumn("__decoded", F.col("__decoded").cast("string")).toDF(*names, out)
