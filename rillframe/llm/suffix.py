@@ -26,9 +26,8 @@ LENGTH, GRAM = 200, 60
 REACH = LENGTH - GRAM
 #: Words of eight bytes that the shallow phase looks at.
 SHALLOW = 12
-#: Surroundings of one gram are sorted in one task up to so many, or up to SHARE times what a task gets on average if that is more. Beyond
-#: that, strings are counted one by one over all tasks.
-LARGE, SHARE = 1500, 2
+#: Surroundings of one gram are sorted in one task up to so many (340 bytes each); beyond that, strings are counted one by one over all tasks.
+LARGE = 20_000
 _BLOCK = 1_000_000
 _U = np.uint64
 
@@ -359,7 +358,6 @@ def repeated(docs: DataFrame, key: str, text: str, large: int = LARGE) -> tuple[
     ones = kinds.join(sizes, "gram").select("gram", "around", F.col("one.unit").alias("unit"), F.col("one.place").alias("place"), (F.col("n") == 1).alias("alone"), "m")
     first = annotate(texts, lambda data, offsets: [units(offsets, rolling(data))], "unit bigint", keep=["key"], most=_BLOCK).groupBy("unit").agg(F.min("key").alias("key"))
     ones = stored(ones.join(first, "unit"), "ones")
-    large = max(large, SHARE * ones.count() // partitions(docs.sparkSession))
     small = _sorted_extents(_cut_out(texts, ones.where(F.col("m") < large), False))
     many = _counted_extents(_cut_out(texts, ones.where(F.col("m") >= large), True))
     spans = covered.unionByName(small).unionByName(many)
