@@ -450,8 +450,8 @@ def _gather(docs: DataFrame, model: str, every: int, rounds: int) -> DataFrame:
     return stored(docs.select(text_bytes().alias("text")).mapInArrow(tidied(run), schema), "gathered")
 
 
-def _summed(vectors: DataFrame, kind=np.float64) -> np.ndarray:
-    """The sum of a column of packed numbers: tasks add in two steps, the driver adds the last four."""
+def _summed(vectors: DataFrame, n: int, kind=np.float64) -> np.ndarray:
+    """The sum of a column of n packed vectors: tasks add up to sixteen each, in as many steps as it takes, and the driver the last eight."""
     name = vectors.columns[0]
 
     def run(batches):
@@ -463,8 +463,9 @@ def _summed(vectors: DataFrame, kind=np.float64) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=[name])
 
-    for most in (64, 4):
-        vectors = vectors.repartition(most).mapInArrow(tidied(run), f"{name} binary")
+    while n > 8:
+        n = -(-n // 16)
+        vectors = vectors.repartition(n).mapInArrow(tidied(run), f"{name} binary")
     rows = vectors.collect()
     return np.sum([np.frombuffer(r[0], kind) for r in rows], axis=0) if rows else np.zeros(0, kind)
 
@@ -520,7 +521,7 @@ def _train(gathered: DataFrame, classes: Classes, rounds: int, rate: float, batc
                 body = np.concatenate([[n], *[n * own.p[k].ravel() for k in names]]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([body.tobytes()], pa.binary())], names=["sums"])
 
-        sums = _summed(made.where(F.col("turn") == turn).select("x").repartition(copies).mapInArrow(tidied(learn), "sums binary"), np.float32)
+        sums = _summed(made.where(F.col("turn") == turn).select("x").repartition(copies).mapInArrow(tidied(learn), "sums binary"), copies, np.float32)
         at, new = 1, {}
         for k in names:
             new[k] = (sums[at : at + net.p[k].size] / sums[0]).reshape(net.p[k].shape).astype(np.float32)
@@ -584,7 +585,8 @@ def score_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
     gathered = _gather(slim.where(~F.col("held_out")), model, every, rounds)
     counts = stored(gathered.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n, v_words, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c"), F.coalesce(F.sum(F.when(F.col("word") == int(END), F.col("c"))), F.lit(0))).first()
-    pieces = _summed(gathered.where("sums is not null").select("sums"))
+    sums = gathered.where("sums is not null").select("sums")
+    pieces = _summed(sums, sums.count())
     processor = _processor(model)
     first = np.array([processor.id_to_piece(i)[:1] == "\u2581" for i in range(processor.get_piece_size())])
     classes = Classes.fit(pieces if len(pieces) else np.zeros(len(first)), float(ends), first)
