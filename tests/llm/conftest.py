@@ -17,12 +17,18 @@ def words(rng, n, kinds=400):
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+#: Names that operators use inside.
+EXTRA = (
+    "key", "size", "n", "stats", "unit", "spans", "node", "tag", "row", "held", "_key", "__text_bytes", "a.b", "c0", "c1", "mark", "kept", "_kept", "_gone", "_first_key", "_first_mark", "_one",
+    "_mix_key", "_mix_words", "_mix_size", "_mix_own", "_mix_text", "_mix_hold", "_mix_tag", "number", "hold", "cut", "taken", "taken_text", "__seed", "__text", "__t", "__decoded", "secrets", "its", "that",
+)
+
+
 def documents(spark, rows, extra=True):
     """rows: (doc_id, text, lang, source); with columns whose names the operators use inside."""
     df = spark.createDataFrame([(i, t, l, s, None if t is None else len(t)) for i, t, l, s in rows], SCHEMA)
     if extra:
-        for name in ("key", "size", "n", "stats", "unit", "spans", "node", "tag", "row", "held", "_key", "__text_bytes", "a.b"):
-            df = df.selectExpr("*", f"concat('x', cast(doc_id as string)) as `{name}`")
+        df = df.selectExpr("*", *[f"concat('x', cast(doc_id as string)) as `{name}`" for name in EXTRA], "map('k', text, 'l', source) as pairs", "struct(map('k', doc_id) as inner) as nested")
     return df
 
 
