@@ -41,6 +41,27 @@ def tsv_roundtrip(t: Tables):
     return X.from_tsv(t.spark, path).df.select(F.col("value")[0].alias("key"), F.col("value")[1].alias("name"))
 
 
+_TEXT = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || chr(10) || p_brand WHEN 2 THEN '\"' || chr(10) || chr(10) || '\",' || p_type ELSE 'a \"\"' || chr(10) || '\"' END"
+
+
+def _with_line_ends(t: Tables, separator: str) -> str:
+    """A file of records whose fields hold line ends, blank lines, quotes and separators."""
+    path, key = scratch(t.spark), F.col("p_partkey")
+    text = F.expr(_TEXT.replace("chr(10)", "char(10)"))
+    X.to_csv_file(Ordered(t.part.select(F.array(key.cast("string"), text, F.concat(F.lit(separator), "p_brand")).alias("value"), "p_partkey"), ["p_partkey"]), path, separator=separator)
+    return path
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS key, {_TEXT} AS text, ',' || p_brand AS brand FROM part")
+def csv_line_ends(t: Tables):
+    return X.from_csv(t.spark, _with_line_ends(t, ",")).df.select(F.col("value")[0].alias("key"), F.col("value")[1].alias("text"), F.col("value")[2].alias("brand"))
+
+
+@query(f"SELECT true AS ok, CAST(p_partkey AS VARCHAR) AS key, {_TEXT} AS text, chr(9) || p_brand AS brand FROM part")
+def tsv_err_line_ends(t: Tables):
+    return X.from_tsv_err(t.spark, _with_line_ends(t, "\t")).df.select("ok", F.col("value")[0].alias("key"), F.col("value")[1].alias("text"), F.col("value")[2].alias("brand"))
+
+
 @query("SELECT s_suppkey % 10 <> 3 AS ok, count(*) AS n FROM supplier GROUP BY 1")
 def csv_errors(t: Tables):
     """Every tenth record has a field too many."""

@@ -1,7 +1,7 @@
 """Lines, bytes, characters, CSV and TSV: readers and writers.
 
 A text file is read as rows of lines, in parallel; the order of its lines comes from the place of each row: files by name, then splits, then
-lines. Records with a wrong number of fields or broken quotes are bad: plain readers stop before the first bad record, `_err` readers
+lines. Lines that a quoted field goes over are put together by a prefix scan over an automaton of two states. Records with a wrong number of fields or broken quotes are bad: plain readers stop before the first bad record, `_err` readers
 return (ok, value, err) rows and go on.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from rillframe.ordered import Ordered
+from rillframe.ordered import IDX, Ordered, in_order
 from rillframe.session import stable
 from rillframe.sources.memory import O
 
@@ -76,15 +76,52 @@ def from_runes(df: DataFrame, column: str) -> Ordered:
 # --- CSV and TSV
 
 
+_INNER = r'[^"]*+(?:""[^"]*+)*+'
+_QUOTED = f'"{_INNER}"'
+
+
+def _patterns(separator: str) -> tuple[str, str]:
+    """The separator and an unquoted field, as patterns. Repetition is possessive, so that long fields need no stack."""
+    sep = "\\t" if separator == "\t" else "\\" + separator
+    return sep, rf'[^"{sep}]*+'
+
+
+def _whole(lines: Ordered, separator: str) -> Ordered:
+    """value: the lines, those of one record put together with line ends between them.
+
+    Each line is a function of whether a quoted field is open before it. The state before a line follows from the last line after which it is
+    known whatever came before, and the number of lines since that turn it; both are prefix aggregates. Files begin outside.
+    """
+    sep, plain = _patterns(separator)
+    value = F.col("value")
+    opens = value.rlike(rf'\A(?:(?:{_QUOTED}|{plain}){sep})*+"{_INNER}\z')
+    stays = value.rlike(rf'\A{_INNER}(?:"(?:{sep}(?:{_QUOTED}|{plain}(?={sep}|\z)))*+{sep}"{_INNER})?\z')
+    if lines.df.where(opens).isEmpty():
+        return lines
+    s = lines.over(1, 0, __before=lambda w: F.lag("__file").over(w))
+    first = F.col("__before").isNull() | (F.col("__before") != F.col("__file"))
+    s = s.with_df(s.df.withColumn("__first", first).withColumn("__outside", opens).withColumn("__inside", F.when(first, opens).otherwise(stays)).withColumn("__turn", (F.col("__outside") & ~F.col("__inside")).cast("long")).drop("__before"))
+    s = s.running("__turns", lambda w: F.sum("__turn").over(w), lambda: F.sum("__turn"), lambda w: F.sum("__total").over(w), lambda carry, own: carry + own)
+    known = F.when(F.col("__outside") == F.col("__inside"), F.struct(IDX, F.col("__outside").cast("long").alias("state"), "__turns"))
+    s = s.with_df(s.df.withColumn("__known", known))
+    s = s.running("__last", lambda w: F.max("__known").over(w), lambda: F.max("__known"), lambda w: F.max("__total").over(w), lambda carry, own: F.greatest(carry, own))
+    state = (F.coalesce(F.col("__last.state"), F.lit(0)) + F.col("__turns") - F.coalesce(F.col("__last.__turns"), F.lit(0))) % 2
+    s = s.with_df(s.df.withColumn("__state", state).select("value", IDX, "__state", "__first"))
+    s = s.over(1, 0, __open=lambda w: F.lag("__state").over(w))
+    s = s.with_df(s.df.withColumn("__head", F.when(F.col("__first") | (F.col("__open") == 0), F.col(IDX))))
+    s = s.running("__record", lambda w: F.max("__head").over(w), lambda: F.max("__head"), lambda w: F.max("__total").over(w), lambda carry, own: F.greatest(carry, own))
+    return Ordered(s.df.groupBy("__record").agg(F.array_join(in_order("value", IDX), "\n").alias("value")), ["__record"])
+
+
 def _records(spark: SparkSession, path: str, separator: str) -> Ordered:
-    """value: array of fields, or null and BAD: of each record that isn't a blank line. Quotes as in RFC 4180, on one line."""
-    lines = from_lines(spark, path)
+    """value: array of fields, or null and BAD: of each record that isn't a blank line. Quotes as in RFC 4180; a quoted field may hold line ends."""
+    lines = from_lines(spark, path, "\n")
+    lines = _whole(lines.with_df(lines.df.withColumn("value", F.regexp_replace("value", r"\r\z", ""))), separator)
     rows = lines.df.where(F.length("value") > 0)
-    sep = "\\t" if separator == "\t" else "\\" + separator
-    plain, quoted = rf'[^"{sep}]*', r'"(?:[^"]|"")*"'
-    good = F.col("value").rlike(rf"^(?:{quoted}|{plain})(?:{sep}(?:{quoted}|{plain}))*$")
+    sep, plain = _patterns(separator)
+    good = F.col("value").rlike(rf"\A(?:{_QUOTED}|{plain})(?:{sep}(?:{_QUOTED}|{plain}))*+\z")
     # a separator before each field makes every match non-empty
-    cells = F.regexp_extract_all(F.concat(F.lit(separator), F.col("value")), F.lit(rf"{sep}({quoted}|{plain})"), F.lit(1))
+    cells = F.regexp_extract_all(F.concat(F.lit(separator), F.col("value")), F.lit(rf"{sep}({_QUOTED}|{plain})"), F.lit(1))
     clean = F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
     return Ordered(rows.withColumn(BAD, ~good).withColumn("value", F.when(good, clean)), lines.order)
 
@@ -188,7 +225,7 @@ def to_writer(s: Ordered, out, line: Column) -> None:
 
 def csv_line(fields: Column, separator: str = ",") -> Column:
     """An array of strings as one line by RFC 4180: quoted where a field holds the separator, a quote, a line end or a leading space."""
-    sep = "\\t" if separator == "\t" else "\\" + separator
+    sep, _ = _patterns(separator)
     quote = lambda c: F.when(c.rlike(rf'["\r\n{sep}]|^\s'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     return F.array_join(F.transform(fields, quote), separator)
 

@@ -83,3 +83,26 @@ def test_effects(spark):
     assert X.with_context(s, lambda x: x.df.count(), seconds=60) == 3
     with X.using(s.df) as kept:
         assert kept.count() == 3
+
+
+def test_records_over_lines(spark, tmp_path):
+    """Line ends in quoted fields, blank ones too; broken quotes end at their line and the next record is read."""
+    path = put(tmp_path, 'a,b\n"x\ny",1\n\n"\n\n""q"", z\r\n",2\nz,"2\n"\n', "lines.csv")
+    assert values(C.from_csv(spark, path)) == [["a", "b"], ["x\ny", "1"], ['\n\n"q", z\n', "2"], ["z", "2\n"]]
+    path = put(tmp_path, 'a,b\nx"y,1\nc,"d\ne"\n"f" g,1\nh,"i\n"j,2\nk,l\nm,"n\n', "broken.csv")
+    assert [tuple(r) for r in C.from_csv_err(spark, path).df.orderBy("__record").select("ok", "value").collect()] == [(True, ["a", "b"]), (False, None), (True, ["c", "d\ne"]), (False, None), (False, None), (True, ["k", "l"]), (False, None)]
+    path = put(tmp_path, 'n,t\n1,"' + "y" * 30000 + '\n""' + "z" * 30000 + '"\n', "long.csv")
+    assert values(C.from_csv_with_header(spark, path), "record") == [{"n": "1", "t": "y" * 30000 + '\n"' + "z" * 30000}]
+
+
+def test_records_over_chunks(spark, tmp_path, monkeypatch):
+    """The scan's state goes over chunks and files, and files begin outside of quotes."""
+    import rillframe.ordered as O
+
+    monkeypatch.setattr(O.Ordered.chunked, "__defaults__", (0, 0, 2))
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "1.csv").write_text('a,"1\n2\n3\n4\n5",c\nd,"open\n\n')
+    (folder / "2.csv").write_text('e,f,g\nh,"\n\n\n\n",i\n')
+    got = C.from_csv_err(spark, str(folder)).df.orderBy("__record").select("value").collect()
+    assert [r[0] for r in got] == [["a", "1\n2\n3\n4\n5", "c"], None, ["e", "f", "g"], ["h", "\n\n\n\n", "i"]]
