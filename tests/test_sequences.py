@@ -209,19 +209,19 @@ def test_whole_tables(spark, small):
         folded = (folded * 31 + x) % 1000003
     for x in ids[1:]:
         reduced = (reduced * 7 + x) % 10007
-    assert len(ids) > 500 and run("fold_whole") == [(folded,)] and run("reduce_optional_whole") == [(reduced,)]
-    assert sorted(r[0] for r in run("flatten_whole")) == sorted([*ids, *[i + 1 for i in ids]])
-    assert sorted((r["index"], r["value"]) for r in QUERIES["zip_with_index_whole"](spark, small).collect()) == list(enumerate(ids))
+    assert len(ids) > 500 and run("fold") == [(folded,)] and run("reduce_optional") == [(reduced,)]
+    assert sorted(r[0] for r in run("flatten")) == sorted([*ids, *[i + 1 for i in ids]])
+    assert sorted((r["index"], r["value"]) for r in QUERIES["zip_with_index"](spark, small).collect()) == list(enumerate(ids))
     kept, last = [], None
     for r in events:
         if last is None or abs(r.value - last) > 20:
             kept.append(r.event_id)
             last = r.value
-    assert sorted(r[0] for r in run("distinct_until_changed_by_whole")) == kept
+    assert sorted(r[0] for r in run("distinct_until_changed_by")) == kept
     state, want = {}, []
     for r in events:
         state[r.user_id] = (state.get(r.user_id, 1) * 3 + r.event_id) % 1009
         want.append((r.event_id, r.user_id, state[r.user_id]))
-    assert sorted(run("scan_whole")) == want
+    assert sorted(run("scan")) == want
     texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
-    assert run("string_lines_whole") == [(sum(len(x.rstrip("\n").split("\n")) for x in texts if x),)]
+    assert run("string_lines") == [(sum(len(x.rstrip("\n").split("\n")) for x in texts if x),)]
