@@ -47,7 +47,7 @@ def search_tree(block: dict, shard: dict, k: int, factor: float) -> Best:
     best = Best(len(q), k)
 
     def look(of, points):
-        score = q[of] @ x[points].T
+        score = np.round(q[of] @ x[points].T, 12)  # so that alike vectors tie wherever they stand
         score[block["row"][of][:, None] == shard["row"][points]] = -np.inf
         best.add(of, score, shard["id"][points], points)
 
@@ -63,7 +63,7 @@ def search_tree(block: dict, shard: dict, k: int, factor: float) -> Best:
         near = d <= (inner + outer) / 2
         visit(a, of[near])
         visit(b, of[~near])
-        reach = factor * np.sqrt(np.maximum(2 - 2 * np.maximum(best.worst(of), -1), 0)) + 1e-9
+        reach = factor * np.sqrt(np.maximum(2 - 2 * np.maximum(best.worst(of), -1), 0)) + 1e-6  # cosines of alike vectors are 1 but for rounding
         visit(b, of[near & (outer - d <= reach)])
         visit(a, of[~near & (d - inner <= reach)])
 

@@ -13,9 +13,16 @@ LEAF = 64
 SHRINK = 1.3
 
 
+def _wide(x: np.ndarray) -> np.ndarray:
+    """The rows with numbers so large that doubles would round a product of two rows."""
+    return np.flatnonzero(np.abs(x).max(1, initial=0) * max(x.shape[1], 1) ** 0.5 > 2.0**26)
+
+
 def cover_tree(x: np.ndarray, leaf: int = LEAF) -> list[tuple]:
     """Nodes (centre, covering radius, children, points): each point of a node is within the radius of the centre; the root is first.
 
+    Wide rows are left out: they are multiplied one by one, as whole numbers.
+
     A ball is covered by balls of a radius smaller by SHRINK around points of its own. What such balls hold by ones and twos is gathered in
     leaves, whose radius is measured, so a tree in many dimensions doesn't fall apart into single points.
     """
@@ -48,24 +55,16 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> list[tuple]:
         nodes[me] = (centre, radius, tuple(children), points[:0])
         return me
 
-    if len(x):
-        add(0, np.arange(len(x)))
+    own = np.setdiff1d(np.arange(len(x)), _wide(x))
+    if len(own):
+        add(own[0], own)
     return nodes
 
 
 def search_trees(block: dict, shard: dict, k: int) -> Best:
     """All queries against all points; a pair of nodes is left out if its bound is below each query's kth score."""
     q, x = block["x"], shard["x"]
-    big = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * max(q.shape[1], 1) >= 2.0**52
     best = Best(len(q), k)
-    if big:  # doubles would round: whole numbers of any size, without pruning
-        a, b = (np.array([[int(v) for v in row] for row in m], object).reshape(len(m), -1) for m in (q, x))
-        for i in range(len(q)):
-            score = np.array([min(max(int(np.dot(a[i], row)), -(2**63)), 2**63 - 1) for row in b], object)
-            order = sorted((j for j in range(len(x)) if shard["row"][j] != block["row"][i]), key=lambda j: (-score[j], shard["id"][j]))[:k]
-            best.place[i, : len(order)] = order
-            best.score[i, : len(order)] = 0
-        return best
     tq, tx = block["made"], shard["made"]
     nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     under: dict[int, np.ndarray] = {}
@@ -94,9 +93,29 @@ def search_trees(block: dict, shard: dict, k: int) -> Best:
             score = q[pa] @ x[pb].T
             score[block["row"][pa][:, None] == shard["row"][pb]] = -np.inf
             best.add(pa, score, shard["id"][pb], pb)
+    wide_q, wide_x = _wide(q), _wide(x)
+    if len(wide_q) or len(wide_x):
+        _add_wide(best, block, shard, wide_q, wide_x)
     return best
 
 
+def _add_wide(best: Best, block: dict, shard: dict, wide_q: np.ndarray, wide_x: np.ndarray) -> None:
+    """Products with wide rows, as whole numbers of any size: of wide queries with all points, of the others with wide points."""
+    numbers = lambda row: [int(v) for v in row.tolist()]
+    k, alone = best.place.shape[1], set(wide_q.tolist())
+    points = {}
+    for i in range(len(block["x"])) if len(wide_x) else wide_q.tolist():
+        pool = np.arange(len(shard["x"])) if i in alone else np.concatenate([best.place[i][best.place[i] >= 0], wide_x])
+        own, scores = numbers(block["x"][i]), {}
+        for j in pool[shard["row"][pool] != block["row"][i]].tolist():
+            if j not in points:
+                points[j] = numbers(shard["x"][j])
+            scores[j] = min(max(sum(a * b for a, b in zip(own, points[j], strict=True)), -(2**63)), 2**63 - 1)
+        order = sorted(scores, key=lambda j: (-scores[j], shard["id"][j]))[:k]
+        best.place[i], best.score[i] = -1, -np.inf
+        best.place[i, : len(order)], best.score[i, : len(order)] = order, 0
+
+
 def top_products(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of floor(scale * component) with all other rows, ties to smaller keys.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import quoted, stored
+from rillframe.llm.common import quoted, stored, tidied
 
 #: Vectors of a shard and queries of a block, about.
 SHARD, BLOCK = 4096, 1024
@@ -48,7 +48,7 @@ def _packed(rows: DataFrame, parts: int, label: str, prepare: Callable[[np.ndarr
         body = {"row": t.column("row").to_numpy(), "id": ids, "absent": absent, "x": x, "made": prepare(x)}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(body, protocol=5)], pa.binary())], names=["body"])
 
-    packed = rows.repartition(parts).mapInArrow(run, "body binary")
+    packed = rows.repartition(parts).mapInArrow(tidied(run), "body binary")
     return stored(packed.withColumn("part", F.spark_partition_id()), label)
 
 
@@ -78,7 +78,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, prepare_shard, prepare_b
                     names=["row", "query_id", "vec_id", "score"],
                 )
 
-    best = both.mapInArrow(run, f"row bigint, query_id bigint, vec_id bigint, score {kind}")
+    best = both.mapInArrow(tidied(run), f"row bigint, query_id bigint, vec_id bigint, score {kind}")
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -101,3 +101,37 @@ def test_top_products_of_large_numbers(spark):
     scaled = [[int(np.floor(256 * float(np.float32(c)))) for c in r] for r in rows]
     want = sorted(((-min(max(sum(a * b for a, b in zip(scaled[0], v, strict=True)), -(2**63)), 2**63 - 1), j) for j, v in enumerate(scaled) if j))
     assert [(v, s) for _, v, s in got[0]] == [(j, -s) for s, j in want]
+
+
+def test_large_numbers_cost_only_their_rows(spark, monkeypatch):
+    """Wide rows among others: the others are still pruned, and all is exact."""
+    from rillframe.llm import topk
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    x[50], x[7], x[301] = 1e9 * x[50], 1e12, -1e12
+    scaled = [[int(np.floor(256 * float(c))) for c in r] for r in x]
+    made, real = [], topk._add_wide
+    monkeypatch.setattr(topk, "_add_wide", lambda best, block, shard, a, b: made.append((len(a), len(b))) or real(best, block, shard, a, b))
+    body = {"x": np.array(scaled, float), "row": np.arange(400), "id": np.arange(400)}
+    queries = np.arange(0, 400, 50)
+    block = {"x": body["x"][queries], "row": queries, "id": queries, "made": topk.cover_tree(body["x"][queries])}
+    best = topk.search_trees(block, body | {"made": topk.cover_tree(body["x"])}, 5)
+    assert made == [(1, 3)]
+    for n, i in enumerate(queries):
+        cut = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+        want = sorted((-cut(sum(a * b for a, b in zip(scaled[i], v, strict=True))), j) for j, v in enumerate(scaled) if j != i)[:5]
+        assert best.place[n].tolist() == [j for _, j in want]
+
+
+def test_nearest_among_many_equal(spark):
+    """Of more equal vectors than a query asks for, those of the smallest keys."""
+    from rillframe.llm.ann import nearest
+
+    rng = np.random.default_rng(4)
+    kinds = rng.standard_normal((3, 33)).astype(np.float32)
+    x = kinds[rng.integers(0, 3, 900)]
+    got = lists(nearest(table(spark, range(900), [v.tolist() for v in x]), factor=1.0).collect())
+    for i in range(0, 900, 50):
+        same = [j for j in range(900) if j != i and (x[j] == x[i]).all()][:5]
+        assert [v for _, v, _ in got[i]] == same
