@@ -42,8 +42,11 @@ class ByteNetwork:
         p["ob"] = np.zeros((len(languages), 1), np.float32)
         return ByteNetwork(languages, hidden, p)
 
-    def states(self, x: np.ndarray, side: str, trace: list | None = None) -> np.ndarray:
-        """The state after each of the bytes x (steps by batch), read in the order of the side: steps by hidden by batch."""
+    def states(self, x: np.ndarray, side: str, trace: list | None = None, there: np.ndarray | None = None) -> np.ndarray:
+        """The state after each of the bytes x (steps by batch), read in the order of the side: steps by hidden by batch.
+
+        there: 1 where a byte is one of the text, 0 beyond its end, where states are zero. So a text's states don't depend on the others'.
+        """
         h, steps, batch = self.hidden, *x.shape
         table = np.ascontiguousarray(self.p[f"x{side}"].T)
         out = np.zeros((steps, h, batch), np.float32)
@@ -68,6 +71,8 @@ class ByteNetwork:
             np.subtract(state, new, out=new_state)
             new_state *= z
             new_state += new
+            if there is not None:
+                new_state *= there[t]
             state = new_state
         return out
 
@@ -79,7 +84,7 @@ class ByteNetwork:
         """Mean loss over all positions, each labelled with its text's language, and its gradients."""
         h, steps = self.hidden, len(x)
         traces = {"f": [], "b": []}
-        s = {side: self.states(x, side, traces[side]) for side in "fb"}
+        s = {side: self.states(x, side, traces[side], mask) for side in "fb"}
         logit = np.stack([self.logits(s["f"][t], s["b"][t]) for t in range(steps)])
         logit -= logit.max(1, keepdims=True)
         chance = np.exp(logit)
@@ -97,7 +102,7 @@ class ByteNetwork:
             u, c = self.p[f"u{side}"], self.p[f"c{side}"]
             back = np.zeros_like(s[side][0])
             for t, state, z, r, new in reversed(traces[side]):
-                ds = back + from_out[t]
+                ds = (back + from_out[t]) * mask[t]
                 dn = ds * (1 - z) * (1 - new * new)
                 dz = ds * (state - new) * z * (1 - z)
                 dreset = c.T @ dn
@@ -125,7 +130,8 @@ class ByteNetwork:
             x = data[np.minimum(at, len(data) - 1)]
             x[step >= lengths[these]] = 0
             inside = (step >= lead[these]) & (step < (lengths - trail)[these])
-            forward, backward = self.states(x, "f"), self.states(x, "b")
+            there = None if lengths[these[-1]] == steps else (step < lengths[these]).astype(np.float32)
+            forward, backward = self.states(x, "f", None, there), self.states(x, "b", None, there)
             total = np.zeros((k, len(these)), np.float32)
             for t in range(steps):
                 e = self.logits(forward[t], backward[t])
