@@ -124,6 +124,35 @@ scored AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+OP7_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM texts),
+grams AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT r, r AS other FROM sets UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM sets s JOIN reach ON reach.r = s.r JOIN sets o ON o.r = reach.other GROUP BY s.r
+"""
+OP10_SQL = r"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT r, h, len(h) // 2 AS n FROM texts),
+parts AS (SELECT r, n, c, substr(h, 2 * c + 1, 2 * 1199) AS p FROM (SELECT r, h, n, unnest(range(0, n - 199, 1000)) AS c FROM sized WHERE n >= 200)),
+strings AS MATERIALIZED (SELECT r, c + i AS pos, md5(substr(p, 2 * i + 1, 400)) AS s FROM (SELECT r, c, p, unnest(range(0, least(1000, n - 199 - c))) AS i FROM parts)),
+again AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT r, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY r ORDER BY pos) + 200 THEN 0 ELSE 1 END AS fresh FROM strings JOIN again USING (s)),
+runs AS (SELECT r, min(pos) AS a, max(pos) + 200 AS b FROM (SELECT r, pos, sum(fresh) OVER (PARTITION BY r ORDER BY pos) AS run FROM starts) GROUP BY r, run),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY r),
+kept AS (SELECT g.r, string_agg(substr(h, 2 * g.a + 1, 2 * (coalesce(g.b, len(h) // 2) - g.a)), '' ORDER BY g.a) AS h FROM gaps g JOIN texts t ON t.r = g.r GROUP BY g.r),
+counts AS (SELECT r, sum(b - a) AS gone, count(*) AS n FROM runs GROUP BY r)
+SELECT doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN counts c ON c.r = t.r LEFT JOIN kept k ON k.r = t.r
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
@@ -137,4 +166,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_suffix": op10_suffix,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op6_topk": OP6_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op6_topk": OP6_SQL, "op7_ngram_join": OP7_SQL, "op10_suffix": OP10_SQL}

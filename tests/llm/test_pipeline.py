@@ -39,7 +39,7 @@ def test_run(spark, small):
     assert rows and set(rows[0].asDict()) == {"doc_id", "source", "ids", "n_pieces", "lossless"}
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op6_topk"])
+@pytest.mark.parametrize("name", ["op1_mixing", "op6_topk", "op7_ngram_join", "op10_suffix"])
 def test_sql(spark, small, name):
     import duckdb
 
