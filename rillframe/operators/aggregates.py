@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillframe.operators.transforms import _col
@@ -153,14 +154,18 @@ def get_statistics(s: Ordered, value: str = "value") -> DataFrame:
 def quantile(s: Ordered, q: float, value: str = "value") -> DataFrame:
     """The value at place floor(q * (n - 1)) of the sorted values, q held in [0, 1]; null of no rows.
 
-    By counts of distinct values and their prefix sums, so no array of all values is built.
+    Counts of distinct values are parted by range; the parts' totals, a row each, tell which part holds the place, and prefix sums run there alone.
     """
-    from rillframe.operators.windows import running_sum
-
     counts = s.df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.floor(F.lit(min(max(q, 0.0), 1.0)) * (F.sum("__n") - 1)).alias("__at"))
-    up_to = running_sum(Ordered(counts, ["value"]), "__n", "__end").df
-    return up_to.crossJoin(F.broadcast(total)).where(F.col("__end") > F.col("__at")).agg(F.min("value").alias("value"))  # one row
+    parts = Ordered(counts, ["value"]).parts()
+    sizes = sorted((r["__chunk"], r["n"]) for r in parts.groupBy("__chunk").agg(F.sum("__n").alias("n")).collect())  # a row for each partition
+    at, before, part = math.floor(min(max(q, 0.0), 1.0) * (sum(n for _, n in sizes) - 1)), 0, -1
+    for part, n in sizes:
+        if before + n > at:
+            break
+        before += n
+    end = F.sum("__n").over(Window.partitionBy("__chunk").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return parts.where(F.col("__chunk") == part).withColumn("__end", end + before).where(F.col("__end") > at).agg(F.min("value").alias("value"))
 
 
 def median(s: Ordered, value: str = "value") -> DataFrame:

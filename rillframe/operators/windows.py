@@ -29,8 +29,13 @@ def window_with_step(s: Ordered, size: int, step: int, partial: bool = False, va
     at = s.index()
     if size <= 0 or step <= 0:
         return Ordered(at.df.limit(0).select(F.array(value).alias("value"), IDX), [IDX])
-    frame = lambda w: F.collect_list(F.struct(F.col(value).alias("x"))).over(w.rowsBetween(0, size - 1))
-    rows = at.over(0, size - 1, __w=frame).df.where(F.col(IDX) % step == 0)
+    if step > 1:  # each row goes to the frames that hold it, size / step of them
+        first, last = F.greatest(F.ceil((F.col(IDX) - (size - 1)) / step), F.lit(0)), F.floor(F.col(IDX) / step)
+        dealt = at.df.select(F.col(value).alias("x"), F.col(IDX).alias("__p"), F.explode(F.when(first <= last, F.sequence(first, last))).alias("__f"))
+        rows = dealt.groupBy((F.col("__f") * step).alias(IDX)).agg(F.array_sort(F.collect_list(F.struct("__p", "x"))).alias("__w"))
+    else:
+        frame = lambda w: F.collect_list(F.struct(F.col(value).alias("x"))).over(w.rowsBetween(0, size - 1))
+        rows = at.over(0, size - 1, __w=frame).df
     full = F.size("__w") == size
     if partial:
         n = at.df.agg(F.count(F.lit(1)).alias("__n"))

@@ -5,7 +5,7 @@ from the positions, so no operator gathers all rows in one task:
 
 * index(): a dense position, from per-partition counts after a range sort;
 * chunked(): rows by chunks of positions, with copies of a neighbour chunk's rows where a frame looks over the border;
-* running(): prefix aggregates in two levels, within a chunk and over the chunks' totals.
+* running(): prefix aggregates in two levels, within a sorted partition (or, of indexed frames, a chunk) and over their totals.
 """
 
 from __future__ import annotations
@@ -102,15 +102,28 @@ class Ordered:
         return Ordered(out.where(own).drop("__chunk"), [IDX])
 
     def running(self, out: str, within: Callable[[object], Column], total: Callable[[], Column], over_totals: Callable[[object], Column], join: Callable[[Column, Column], Column]) -> Ordered:
-        """With a prefix aggregate in `out`: within(window) inside a chunk, total() of a chunk, over_totals(window) of what is before it."""
-        rows, _, window = self.chunked()
-        rows = stable(rows)
+        """With a prefix aggregate in `out`: within(window) inside a part of the rows, total() of a part, over_totals(window) of what is before it.
+
+        An indexed frame's parts are chunks of positions; another frame's are the partitions of one exchange by range, and it keeps its order.
+        """
+        indexed = self.order == [IDX]
+        if indexed:
+            rows, _, window = self.chunked()
+            rows = stable(rows)
+        else:
+            rows, window = self.parts(), Window.partitionBy("__chunk").orderBy(*self.order)
         totals = rows.groupBy("__chunk").agg(total().alias("__total"))
-        # one row for each chunk of positions
+        # one row for each chunk of positions or partition
         carried = totals.select("__chunk", over_totals(Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+        carried = carried if indexed else F.broadcast(carried)
         inside = rows.withColumn("__in", within(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         done = inside.join(carried, "__chunk").withColumn(out, F.when(F.col("__carry").isNull(), F.col("__in")).otherwise(join(F.col("__carry"), F.col("__in"))))
-        return Ordered(done.drop("__chunk", "__in", "__carry"), [IDX])
+        return Ordered(done.drop("__chunk", "__in", "__carry"), self.order)
+
+    def parts(self) -> DataFrame:
+        """The rows with the number of their partition, `__chunk`, after one exchange by range: parts one after another in order."""
+        ranged = self.df.repartitionByRange(shuffle_partitions(self.df.sparkSession), *self.order)
+        return stable(ranged.withColumn("__chunk", F.spark_partition_id().cast("long")))
 
 
 def ordered(df: DataFrame, *order: str) -> Ordered:

@@ -22,12 +22,25 @@ def stable(df: DataFrame) -> DataFrame:
     """df as it is now, for plans that read it more than once and need the same partitions each time.
 
     With spark.checkpoint.dir it is a reliable checkpoint, which survives lost executors; else it is kept by Spark's cache, whose lost
-    blocks are made again from the same shuffle.
+    blocks are made again from the same shuffle, until release_stable().
     """
     context = df.sparkSession.sparkContext
     if context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
         return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(kept)
+    return kept
+
+
+_kept: list[DataFrame] = []
+
+
+def release_stable() -> int:
+    """Give back the memory and disk of all frames that stable() has kept in Spark's cache; frames that use them are computed anew. Their number."""
+    n = len(_kept)
+    while _kept:
+        _kept.pop().unpersist()
+    return n
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
