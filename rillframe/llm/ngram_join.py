@@ -111,6 +111,13 @@ def _packed(hashes: np.ndarray, counts: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(cut)])
 
 
+def _unique(rows: DataFrame) -> DataFrame:
+    """One row for each set: node, n, lead, low, and key and mark of one text that has it. Copies are combined before the shuffle."""
+    text = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("one")
+    sets = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("low").alias("low"), text)
+    return stored(sets.select("node", "n", "lead", "low", F.col("one.key").alias("key"), F.col("one.mark").alias("mark")), "unique")
+
+
 def _meeting(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(gram, node, n, place) for leading columns that several different rows share; place: how many columns lead it in the row."""
     spark = rows.sparkSession
@@ -304,7 +311,7 @@ def _shared(left, right, m):
 def _possible(pairs: DataFrame, rows: DataFrame, per_cent: int) -> DataFrame:
     """The pairs that may be similar enough by their least cells: up to the lower of both last ones, each row's cells are all known, and those
     that only one of them has count against the number that two similar rows of these sizes can differ by."""
-    sides = rows.select("node", "low", "n").join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.first("low").alias("low"), F.first("n").alias("n"))
+    sides = rows.select("node", "low", "n").join(_ends(pairs), "node", "left_semi")
     joined = _both(pairs, sides, "low")
 
     def run(batches):
@@ -338,8 +345,7 @@ def _sent(few: DataFrame) -> DataFrame:
 
 def _sets(nodes: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(node, grams): the whole sets of the nodes, packed, made anew from one text of each, which its key, null or not, and its hash tell."""
-    one = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("one"))
-    one = stored(one.select("node", F.col("one.key").alias("key"), F.col("one.mark").alias("mark")), "needed")
+    one = stored(rows.select("node", "key", "mark").join(nodes, "node", "left_semi"), "needed")
     names = one.select(F.col("key").alias("its"), F.col("mark").alias("that")).distinct()
     texts = docs.join(_sent(names), (F.col("mark") == F.col("that")) & F.col("key").eqNullSafe(F.col("its")), "left_semi")
 
@@ -403,16 +409,17 @@ def _grouped(docs: DataFrame, least, width: int = 5, per_cent: int = 80) -> tupl
     """The rows with their sets' nodes, and (node, first): the least of the aggregate `least` over the rows of each node's component."""
     frequent = _frequent(docs, width)
     rows = stored(_rows(docs, width, per_cent, frequent), "rows")
-    cells = _meeting(rows, frequent)
-    links = _links(_first_pairs(cells, per_cent), docs, rows, width, per_cent)
+    unique = _unique(rows)
+    cells = _meeting(unique, frequent)
+    links = _links(_first_pairs(cells, per_cent), docs, unique, width, per_cent)
     groups = components(links)
     apart = _apart(cells, groups)
     release(cells)
-    more = _links(_other_pairs(apart, per_cent), docs, rows, width, per_cent)
+    more = _links(_other_pairs(apart, per_cent), docs, unique, width, per_cent)
     if not apart.where(F.col("met") > GROUP).isEmpty():
-        more = more.unionByName(_block_links(apart, docs, rows, width, per_cent))
+        more = more.unionByName(_block_links(apart, docs, unique, width, per_cent))
     groups = components(links.unionByName(more)) if not more.isEmpty() else groups
-    release(apart, links)
+    release(apart, links, unique)
     own = rows.where("n > 0").groupBy("node").agg(least.alias("least"))
     named = own.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
