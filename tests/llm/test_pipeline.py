@@ -34,6 +34,26 @@ def test_stages(spark, small):
     assert sum(i in kept["quality"] for i in good) >= 0.95 * len(good)
 
 
+def test_stages_of_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, empty tables, and columns whose names the operators use themselves."""
+    spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (5, None)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        rows, empty = out.collect(), stage(spark, none, str(tmp_path)).collect()
+        assert empty == [] and rows
+        if name == "pieces":
+            assert len(rows) == odd.count() and all(r.lossless for r in rows) and all(r.n_pieces == 0 for r in rows if r.doc_id in (0, 1))
+            continue
+        assert out.columns == odd.columns
+        ids = [r.doc_id for r in rows]
+        if name == "near_duplicates":
+            assert {0, 1, 2} <= set(ids) and sorted(i for i in ids if i in (3, 4, 5, 6)) == [3, 5] and ids.count(None) == 1
+        if name == "secrets":
+            assert len(rows) == odd.count() and all(r.text is not None for r in rows)
+        if name == "mixture":
+            assert not {0, 1, 2} & set(ids)
+
+
 def test_run(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows and set(rows[0].asDict()) == {"doc_id", "source", "ids", "n_pieces", "lossless"}
