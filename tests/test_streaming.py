@@ -77,3 +77,29 @@ def test_stream_timeout(stream):
     at = lambda m: T0 + dt.timedelta(milliseconds=m)
     got = stream([[(1, 1, at(0)), (1, 2, at(250))]], "k bigint, value bigint, ts timestamp", lambda df: K.timeout(df, ["k"], 100, "bigint"), "1 second")
     assert [r.ok for r in got.where("at <= 1704067200250").orderBy("at").collect()] == [True, False, False, True]
+
+
+def test_unbounded_sources(spark):
+    """Streams by the clock, run until they have given rows; a bounded frame is no channel."""
+    import time
+
+    import pytest
+
+    from rillframe.sources import memory as M
+
+    def some(df, name):
+        running = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(processingTime="200 milliseconds").start()
+        try:
+            for _ in range(300):
+                if spark.table(name).count() >= 3:
+                    break
+                time.sleep(0.2)
+            return spark.table(name).collect()
+        finally:
+            running.stop()
+
+    every = some(M.from_channel(M.interval(spark, 20)), "by_the_clock")
+    assert sorted(r.value for r in every) == list(range(len(every))) and len(every) >= 3
+    assert {r.value for r in some(M.from_channel_ctx(M.repeat_forever(spark, 7, 20)), "for_ever")} == {7}
+    with pytest.raises(ValueError):
+        M.from_channel(spark.range(3))
