@@ -358,9 +358,11 @@ def repeated(docs: DataFrame, key: str, text: str, large: int = LARGE) -> tuple[
     ones = kinds.join(sizes, "gram").select("gram", "around", F.col("one.unit").alias("unit"), F.col("one.place").alias("place"), (F.col("n") == 1).alias("alone"), "m")
     first = annotate(texts, lambda data, offsets: [units(offsets, rolling(data))], "unit bigint", keep=["key"], most=_BLOCK).groupBy("unit").agg(F.min("key").alias("key"))
     ones = stored(ones.join(first, "unit"), "ones")
-    small = _sorted_extents(_cut_out(texts, ones.where(F.col("m") < large), False))
-    many = _counted_extents(_cut_out(texts, ones.where(F.col("m") >= large), True))
-    spans = covered.unionByName(small).unionByName(many)
+    spans, few, many = covered, ones.where(F.col("m") < large), ones.where(F.col("m") >= large)
+    if not few.isEmpty():  # texts are moved only for what there is
+        spans = spans.unionByName(_sorted_extents(_cut_out(texts, few, False)))
+    if not many.isEmpty():
+        spans = spans.unionByName(_counted_extents(_cut_out(texts, many, True)))
     packed = spans.distinct().groupBy("unit").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     packed = stored(packed, "spans")
     release(met, kinds, ones)
