@@ -43,7 +43,10 @@ HELD = 1 << 20
 def _processor(model: str):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=model)
+    made = sentencepiece.SentencePieceProcessor(model_file=model)
+    if made.get_piece_size() >= 1 << 16:
+        raise ValueError("ids and the border must fit into 16 bits")
+    return made
 
 
 def cut_words(model: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
