@@ -339,8 +339,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _sent(few: DataFrame) -> DataFrame:
     """few, marked to be broadcast if it has at most SENT rows, all of fixed width."""
-    wide = any(f.dataType not in (T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType(), T.BooleanType()) for f in few.schema)
-    return few if wide or few.count() > SENT else F.broadcast(few)
+    def fixed(kind):
+        return all(fixed(f.dataType) for f in kind) if isinstance(kind, T.StructType) else kind in (T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType(), T.BooleanType())
+
+    return few if not fixed(few.schema) or few.count() > SENT else F.broadcast(few)
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
@@ -422,8 +424,8 @@ def _grouped(docs: DataFrame, least, width: int = 5, per_cent: int = 80) -> tupl
     release(apart, links, unique)
     own = rows.where("n > 0").groupBy("node").agg(least.alias("least"))
     named = own.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min("least").alias("first"))
-    return rows, named.select("node", "component").join(first, "component").select("node", "first")
+    first = stored(named.groupBy("component").agg(F.min("least").alias("first")), "first")
+    return rows, named.select("node", "component").join(_sent(first), "component").select("node", "first")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
