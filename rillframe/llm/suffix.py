@@ -336,9 +336,10 @@ def _sorted_extents(around: DataFrame) -> DataFrame:
 def _counted_extents(strings: DataFrame) -> DataFrame:
     """The same for grams of many different surroundings: (unit, place, string, before) of every string counted over all tasks.
 
-    A string repeats if it has two places; rows of a table may stand twice, which gives a place twice. Partial extremes meet, not all rows of a string.
+    A string repeats if it has two places, told apart by 64-bit hashes; rows of a table may stand twice, which gives a place twice. Partial
+    extremes meet, not all rows of a string.
     """
-    at = F.struct("unit", "place")
+    at = F.xxhash64("unit", "place")
     again = strings.groupBy("string").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low <> high").select("string")
     found = strings.join(again, "string").groupBy("unit", "place").agg(F.max("before").alias("most"), F.min("before").alias("least"))
     return found.select("unit", (F.col("place") - F.col("most")).cast("long").alias("a"), (F.col("place") - F.col("least") + LENGTH).cast("long").alias("b"))
