@@ -43,7 +43,9 @@ def build_tree(x: np.ndarray, leaf: int = LEAF, seed: int = 1) -> list:
 
 
 def search_tree(block: dict, shard: dict, k: int, factor: float) -> Best:
-    x, q, nodes = unit(shard["x"]), unit(block["x"]), shard["made"]
+    (nodes, x), q = shard["made"], unit(block["x"])
+    if x.shape[1] < q.shape[1]:
+        x = np.pad(x, ((0, 0), (0, q.shape[1] - x.shape[1])))
     best = Best(len(q), k)
 
     def look(of, points):
@@ -98,4 +100,4 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vec
         first = np.arange(len(q)) - np.searchsorted(q, q) < k
         return q[first], c[first], score[first]
 
-    return search(rows, rows.where(F.col("id") % every == 0), k, build_tree, lambda x: None, find, "double")
+    return search(rows, rows.where(F.col("id") % every == 0), k, lambda x: (build_tree(x), unit(x)), lambda x: None, find, "double")

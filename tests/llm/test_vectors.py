@@ -135,3 +135,28 @@ def test_nearest_among_many_equal(spark):
     for i in range(0, 900, 50):
         same = [j for j in range(900) if j != i and (x[j] == x[i]).all()][:5]
         assert [v for _, v, _ in got[i]] == same
+
+
+def assert_nothing_joined(df):
+    """Blocks times shards as a side of a join looks as small as the blocks and would be broadcast by way of the driver."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_nearest_sends_nothing_by_the_driver(spark, vectors, monkeypatch):
+    """Several groups of several shards, and several blocks."""
+    from rillframe.llm import ann, vectors as V
+
+    monkeypatch.setattr(V, "SHARD", 12)
+    monkeypatch.setattr(V, "BLOCK", 4)
+    df = ann.nearest(table(spark, *vectors), factor=1.0)
+    assert_nothing_joined(df)
+    got = lists(df.collect())
+    for i, want in brute(*vectors, 5, 50, cosine, True):
+        if i != 250:
+            assert [round(s, 9) for _, _, s in got[i]] == [round(s, 9) for _, s in want]
+            assert {v for _, v, s in got[i] if s > want[-1][1] + 1e-9} == {j for j, s in want if s > want[-1][1] + 1e-9}
+    assert len(got[250]) == 15
+    monkeypatch.setattr(V, "HELD", 1)  # a shard for each group
+    again = lists(ann.nearest(table(spark, *vectors), factor=1.0).collect())
+    assert {i: [(n, s) for n, _, s in x] for i, x in again.items()} == {i: [(n, s) for n, _, s in x] for i, x in got.items()}
