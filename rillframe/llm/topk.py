@@ -62,9 +62,9 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> list[tuple]:
 
 
 def search_trees(block: dict, shard: dict, k: int) -> Best:
-    """All queries against all points; a pair of nodes is left out if its bound is below each query's kth score."""
+    """All queries against all points; a pair of nodes is left out if its bound is below each query's kth score, here or in the shards before."""
     q, x = block["x"], shard["x"]
-    best = Best(len(q), k)
+    best = Best(len(q), k, block.get("least"))
     tq, tx = block["made"], shard["made"]
     nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     under: dict[int, np.ndarray] = {}
@@ -77,7 +77,7 @@ def search_trees(block: dict, shard: dict, k: int) -> Best:
 
     def bound(a, b):
         (ca, ra, _, _), (cb, rb, _, _) = tq[a], tx[b]
-        return (q[ca] @ x[cb] + ra * nx[cb] + rb * nq[ca] + ra * rb) * (1 + 1e-12) + 1e-6
+        return q[ca] @ x[cb] + ra * nx[cb] + rb * nq[ca] + ra * rb + 1e-12 * (nq[ca] + ra) * (nx[cb] + rb) + 1e-6
 
     stack = [(0, 0)] if tq and tx else []
     while stack:
@@ -133,8 +133,10 @@ def top_products(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
         a, b = block["x"][q], shard["x"][c]
         exact = np.einsum("ij,ij->i", a, b) if len(q) else np.zeros(0)
         sizes = np.einsum("ij,ij->i", np.abs(a), np.abs(b)) if len(q) else exact
-        score = [int(s) if n < 2.0**52 else min(max(sum(int(u) * int(v) for u, v in zip(r, t, strict=True)), -(2**63)), 2**63 - 1) for s, n, r, t in zip(exact, sizes, a, b, strict=True)]
-        return q, c, np.array(score, np.int64)
+        large = sizes >= 2.0**52
+        score = np.where(large, 0, exact).astype(np.int64)
+        score[large] = [min(max(sum(int(u) * int(v) for u, v in zip(r, t, strict=True)), -(2**63)), 2**63 - 1) for r, t in zip(a[large], b[large], strict=True)]
+        return q, c, score
 
     return search(rows, rows.where(F.col("id") % every == 0), k, cover_tree, cover_tree, find, "bigint")
 

@@ -144,15 +144,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int, prepare_shard, prepare_b
 
 
 class Best:
-    """The k best candidates of each query so far, by score and then by smaller id."""
+    """The k best candidates of each query so far, by score and then by smaller id; none below `least`, if that is given."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None):
+        self.least = np.full(queries, -np.inf) if least is None else least
         self.score = np.full((queries, k), -np.inf)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
         self.place = np.full((queries, k), -1)
 
     def worst(self, of) -> np.ndarray:
-        return self.score[of, -1]
+        return np.maximum(self.score[of, -1], self.least[of])
 
     def add(self, of: np.ndarray, score: np.ndarray, ids: np.ndarray, places: np.ndarray) -> None:
         """score: queries `of`, each once, by candidates; -inf is none."""

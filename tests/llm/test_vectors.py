@@ -160,3 +160,29 @@ def test_nearest_sends_nothing_by_the_driver(spark, vectors, monkeypatch):
     monkeypatch.setattr(V, "HELD", 1)  # a shard for each group
     again = lists(ann.nearest(table(spark, *vectors), factor=1.0).collect())
     assert {i: [(n, s) for n, _, s in x] for i, x in again.items()} == {i: [(n, s) for n, _, s in x] for i, x in got.items()}
+
+
+def test_top_products_send_nothing_by_the_driver(spark, vectors, monkeypatch):
+    """Several groups of several shards, and several blocks."""
+    from rillframe.llm import topk, vectors as V
+
+    monkeypatch.setattr(V, "SHARD", 12)
+    monkeypatch.setattr(V, "BLOCK", 4)
+    df = topk.top_products(table(spark, *vectors))
+    assert_nothing_joined(df)
+    got = lists(df.collect())
+    for i, want in brute(*vectors, 5, 50, lambda a, b: int(np.floor(256 * a) @ np.floor(256 * b)), False):
+        if i != 250:
+            assert [(v, s) for _, v, s in got[i]] == want
+    assert len(got[250]) == 15
+
+
+def test_shards_use_the_scores_before():
+    """What is below a query's kth score is left out; what ties with it, large and negative too, is found."""
+    from rillframe.llm import topk
+
+    x, q = np.repeat([[1e5, 0.0], [1e5, 1.0]], 100, 0), np.array([[-1e5, 0.0]])
+    shard = {"x": x, "row": np.arange(200), "id": np.arange(200), "made": topk.cover_tree(x)}
+    block = {"x": q, "row": np.array([999]), "id": np.array([999]), "made": topk.cover_tree(q)}
+    for least, found in ((-1e10, [0, 1, 2, 3, 4]), (-1e10 + 1, [-1] * 5)):
+        assert topk.search_trees(block | {"least": np.array([least])}, shard, 5).place[0].tolist() == found
