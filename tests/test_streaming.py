@@ -37,6 +37,13 @@ def test_timeouts(spark):
     assert E.rate_limit(timed(spark, [0]), 0).count() == 0
 
 
+def test_timeouts_of_equal_times(spark):
+    """A row at the time of the one before, or without a time, comes once."""
+    df = timed(spark, [0, 0, 0, 30, 30]).union(spark.createDataFrame([(9, None), (10, None)], "value bigint, ts timestamp"))
+    rows = E.timeout_gaps(df, "20 milliseconds").df.collect()
+    assert sorted(r.value for r in rows if r.ok) == [1, 2, 3, 4, 5, 9, 10] and [r.ts for r in rows if not r.ok] == [T0 + dt.timedelta(milliseconds=20)]
+
+
 @pytest.fixture
 def stream(spark, tmp_path):
     def start(rows, schema, build, watermark=None):
