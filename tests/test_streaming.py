@@ -66,6 +66,25 @@ def test_stream_scan_and_changes(stream):
     assert sorted((r.k, r.value) for r in got.collect()) == [(1, 5), (1, 10), (1, 16), (2, 7)]
 
 
+def test_stream_scan_query(spark, tmp_path, monkeypatch):
+    """As its SQL where a user has several rows at one time, or none; and no sink gathers the rows in the driver."""
+    import duckdb
+    from pyspark.sql.streaming import DataStreamWriter
+
+    from rillframe.plans import ORACLES, QUERIES
+
+    made = [(i, T0 + dt.timedelta(seconds=i // 4) if i % 11 else None, i % 3) for i in range(60)]
+    spark.createDataFrame(made, "event_id bigint, ts timestamp_ntz, user_id bigint").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    sinks, start = [], DataStreamWriter.format
+    monkeypatch.setattr(DataStreamWriter, "format", lambda self, source: (sinks.append(source), start(self, source))[1])
+    got = QUERIES["stream_scan"](spark, str(tmp_path)).select("user_id", "ts", "value").collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        want = con.execute(f"SELECT user_id, ts, value FROM ({ORACLES['stream_scan']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) == 60
+    assert sinks == ["parquet"]
+
+
 def test_stream_distinct_until_changed(stream):
     at = lambda m: T0 + dt.timedelta(milliseconds=m)
     rows = [[(1, 5, at(0)), (1, 5, at(1)), (1, 6, at(2)), (1, 5, at(3))]]
