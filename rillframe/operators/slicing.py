@@ -111,16 +111,24 @@ def distinct_until_changed(s: Ordered, value: Column | str = "value") -> Ordered
 
 
 def distinct_until_changed_by(s: Ordered, eq: Callable[[Column, Column], Column], by: list[str] | None = None, value: str = "value") -> Ordered:
-    """Rows that eq(last kept value, value) doesn't hold for. Each depends on the last kept one, so it is a fold, one for each group of `by`."""
-    from rillframe.ordered import in_order
+    """Rows that eq(last kept value, value) doesn't hold for, in each group of `by`.
 
-    columns = s.df.columns
-    item = F.struct(*columns)
-    kept = F.aggregate(
-        in_order(item, s.order), F.array().cast(f"array<{s.df.select(item.alias('x')).schema['x'].dataType.simpleString()}>"),
-        lambda acc, r: F.when((F.size(acc) > 0) & F.coalesce(eq(F.try_element_at(acc, F.lit(-1))[value], r[value]), F.lit(False)), acc).otherwise(F.concat(acc, F.array(r))),
-    )
-    return s.with_df(s.df.groupBy(*(by or [])).agg(kept.alias("__kept")).select(F.explode("__kept").alias("__row")).select("__row.*"))
+    Each depends on the last kept one. The groups, one after another, are one chain, whose parts are folded at once; see chain.kept().
+    """
+    from rillframe.operators import chain
+
+    groups, places = [f"__g{i}" for i in range(len(by or []))], [f"__o{i}" for i in range(len(s.order))]
+    keys = [F.col(c).alias(k) for c, k in zip([*(by or []), *s.order], [*groups, *places], strict=True)]
+    at = Ordered(s.df.select(F.struct(*s.df.columns).alias("__row"), *keys), [*groups, *places]).index().df
+
+    def same(a: Column, b: Column) -> Column:
+        held = F.coalesce(eq(a["x"], b["x"]), F.lit(False))
+        for g in reversed(groups):
+            held = a[g].eqNullSafe(b[g]) & held
+        return held
+
+    kept = chain.kept(at, F.struct(F.col(IDX).alias("p"), F.col("__row")[value].alias("x"), *groups), same)
+    return s.with_df(at.join(kept, IDX).select("__row.*"))
 
 
 # sorts

@@ -197,6 +197,57 @@ def test_index_is_dense_over_partitions(spark):
     assert all(r.k == r["__idx"] for r in got)
 
 
+def test_distinct_until_changed_by_parts(spark, monkeypatch):
+    """Chains that meet soon, late or never, over many parts; groups, nulls and NaN; and one array doesn't take all rows."""
+    from rillframe.operators import chain
+
+    rng = random.Random(5)
+    n, nan = 400, float("nan")
+    cases = {
+        "random": [rng.random() * 100 for _ in range(n)], "never": [10.0 * i for i in range(n)], "constant": [7.0] * n, "slow": [i / 1000 for i in range(n)],
+        "odd": [rng.choice([None, nan, 1.0, 15.0, 40.0]) for _ in range(n)], "late": [*[10.0 * i for i in range(n // 2)], *[rng.random() * 100 for _ in range(n // 2)]],
+    }
+    monkeypatch.setattr(chain.kept, "__defaults__", (16, 4))
+    monkeypatch.setattr(chain, "BLOCK", 4)
+    monkeypatch.setattr(chain, "RUN", 5)
+
+    def brute(rows):
+        kept, last = [], {}
+        for place, g, x in rows:
+            # Spark's comparison: NaN is above all numbers, null is never true
+            if g in last and x is not None and last[g] is not None and abs(x - last[g]) <= 20:
+                continue
+            kept.append(place)
+            last[g] = x
+        return kept
+
+    for name, xs in cases.items():
+        rows = [(i, None if i % 3 == 0 else i % 3, x) for i, x in enumerate(xs)]
+        df = spark.createDataFrame(rows, "place int, g int, value double").repartition(5)
+        near = lambda a, b: F.abs(a - b) <= 20
+        if name in ("random", "odd", "never"):
+            got = S.distinct_until_changed_by(Ordered(df, ["place"]), near, ["g"])
+            assert got.df.columns == ["place", "g", "value"] and [r.place for r in got.df.orderBy("place").collect()] == brute(rows), name
+        got = S.distinct_until_changed_by(Ordered(df, ["place"]), near)
+        assert [r.place for r in got.df.orderBy("place").collect()] == brute([(i, 0, x) for i, _, x in rows]), name
+    assert S.distinct_until_changed_by(Ordered(df.limit(0), ["place"]), near).df.collect() == []
+
+
+def test_distinct_until_changed_by_linear(spark):
+    """What it costs doesn't grow with the square of the rows kept; one growing array took 113 s for half as many rows."""
+    import time
+
+    xs = spark.range(200_000).select("id", (F.pmod(F.hash("id"), F.lit(1000)) / 10).alias("value"))
+    values = [r[0] for r in xs.orderBy("id").select("value").collect()]
+    kept, last = 0, None
+    for x in values:
+        if last is None or abs(x - last) > 20:
+            kept, last = kept + 1, x
+    began = time.time()
+    got = S.distinct_until_changed_by(Ordered(xs, ["id"]), lambda a, b: F.abs(a - b) <= 20).df.count()
+    assert got == kept and time.time() - began < 60
+
+
 def test_whole_tables(spark, small):
     """Queries over all rows against brute force."""
     from rillframe.plans import QUERIES
